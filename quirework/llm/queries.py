@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import mixing, packing, quantiles, survivors
+from quirework.llm import history, mixing, neighbours, packing, quantiles, survivors
 from quirework.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda s, d: neighbours.found(t(s, d, "knowledge")),
+    "p1_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "knowledge")),
     "p2_found": lambda s, d: survivors.found(t(s, d, "knowledge")),
     "p2_consensus": lambda s, d: survivors.consensus_values(t(s, d, "knowledge")),
+    "p4_found": lambda s, d: history.found(t(s, d, "knowledge"), t(s, d, "knowledge_packs")),
     "p6_found": lambda s, d: quantiles.found(t(s, d, "region_ocr")),
     "p6_daily_estimates": lambda s, d: quantiles.daily_estimates(t(s, d, "region_ocr")),
     "p7_found": lambda s, d: packing.found(t(s, d, "documents")),
@@ -26,6 +29,20 @@ _TOKENS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^ \\t\\n\\r\\f\\v]'))"
 _HASH = "regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '^0x', '')"
 
 SQL: dict[str, str] = {
+    "p4_found": f"""
+        with raw as (select entry_id, phash, dhash, false n from knowledge union all select e.entry_id, e.phash, e.dhash, true from (select unnest(entries) e from knowledge_packs)),
+        k as (select entry_id, {_HASH.format('phash')} p, {_HASH.format('dhash')} d, n from raw),
+        e as (select entry_id, p, case when d <> '' and replace(d, d[1], '') <> '' then d end d, bool_or(n) n from k where entry_id is not null and p <> '' and replace(p, p[1], '') <> '' group by all)
+        select distinct least(a.entry_id, b.entry_id) entry_a, greatest(a.entry_id, b.entry_id) entry_b from e a join e b
+        on a.n and a.entry_id <> b.entry_id and length(a.p) = length(b.p) and bit_count(xor(from_hex(a.p)::bit, from_hex(b.p)::bit)) <= 10
+        and (a.d is null or b.d is null or (length(a.d) = length(b.d) and bit_count(xor(from_hex(a.d)::bit, from_hex(b.d)::bit)) <= 10))""",
+    "p1_found": """
+        with e as (select entry_id, any_value(histogram_signature) h, any_value(ssim_features) s from knowledge group by 1),
+        v as (select 'histogram_signature' f, entry_id, h x from e where len(h) = 256 and len(list_filter(h, lambda y: isfinite(y) and y >= 0)) = 256 and len(list_filter(h, lambda y: y <> 0)) > 0
+              union all select 'ssim_features', entry_id, s from e where len(s) = 48 and len(list_filter(s, lambda y: isfinite(y))) = 48 and len(list_filter(s, lambda y: y <> 0)) > 0),
+        p as (select a.f, a.entry_id a, b.entry_id b, list_cosine_similarity(a.x, b.x) c from v a join v b on a.f = b.f and a.entry_id <> b.entry_id),
+        r as (select *, row_number() over (partition by f, a order by c desc, b) n from p)
+        select distinct f as field_name, least(a, b) entry_a, greatest(a, b) entry_b from r where n <= 5 and c >= 0.95""",
     "p6_found": """
         with ok as (
           select doc_id, region_id, max(struct_pack(a := ocr_at, e := lower(trim(engine_used)), t := lower(trim(region_type)), v := cast(round(region_confidence * 10000) as int))) r
