@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import history, mixing, neighbours, packing, quantiles, survivors
+from quirework.llm import history, mixing, neighbours, packing, quantiles, reading, survivors
 from quirework.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
     "p8_schedule": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[0],
     "p8_report": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[1],
+    "p9_found": lambda s, d: reading.found(t(s, d, "documents"), t(s, d, "level_labels")),
+    "p9_levels": lambda s, d: reading.levels(t(s, d, "documents"), t(s, d, "level_labels")),
+    "p9_profile": lambda s, d: reading.profile(t(s, d, "documents"), t(s, d, "level_labels")),
 }
 
 _TOKENS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^ \\t\\n\\r\\f\\v]'))"
