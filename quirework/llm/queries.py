@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import history, mixing, neighbours, packing, quantiles, reading, survivors
+from quirework.llm import history, mixing, neighbours, ocr_repair, packing, quantiles, reading, survivors
 from quirework.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: survivors.found(t(s, d, "knowledge")),
     "p2_consensus": lambda s, d: survivors.consensus_values(t(s, d, "knowledge")),
     "p4_found": lambda s, d: history.found(t(s, d, "knowledge"), t(s, d, "knowledge_packs")),
+    "p5_found": lambda s, d: ocr_repair.found(t(s, d, "region_ocr"), t(s, d, "lexicon")),
+    "p5_paragraphs": lambda s, d: ocr_repair.paragraphs(t(s, d, "region_ocr"), t(s, d, "lexicon")),
     "p6_found": lambda s, d: quantiles.found(t(s, d, "region_ocr")),
     "p6_daily_estimates": lambda s, d: quantiles.daily_estimates(t(s, d, "region_ocr")),
     "p7_found": lambda s, d: packing.found(t(s, d, "documents")),
