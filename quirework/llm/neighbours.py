@@ -54,7 +54,9 @@ def pivots(df: DataFrame, key: str, fields: dict, n: int) -> dict[str, np.ndarra
     out = {}
     for f, (size, neg) in fields.items():
         _, x = unit_rows(got[f], size, neg)
-        out[f] = x[:want]
+        # repeated rows are one pivot
+        _, first = np.unique(x, axis=0, return_index=True)
+        out[f] = x[np.sort(first)][:want]
     return out
 
 
@@ -140,7 +142,8 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
 
     def cell(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k))
-        return pd.DataFrame({"field": np.int32(key_[0]), "id": [x[0] for x in found], "others": [x[1] for x in found], "sims": [x[2] for x in found]})
+        lists_ = {name: pd.Series([x[i] for x in found], dtype=object) for i, name in enumerate(("id", "others", "sims"))}
+        return pd.DataFrame({"field": np.full(len(found), int(key_[0]), np.int32), **lists_})
 
     def hashes(f: int, name: str) -> list[Column]:
         return [F.xxhash64(F.col(name)).alias(f"h1_{f}"), F.xxhash64(F.lit(f + 1), F.col(name)).alias(f"h2_{f}")]
