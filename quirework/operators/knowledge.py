@@ -50,10 +50,14 @@ def windowed_feedback(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return w.select(F.col("w.start").alias("window_start"), "event_type", "n_events", "value_cents")
 
 
+#: JSON keeps microseconds only if told to
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def export_pack(knowledge: DataFrame, pack_id: str, path: str) -> None:
     """Entries as a portable pack of JSON lines."""
-    knowledge.select(F.lit(pack_id).alias("pack_id"), F.lit("1.0").alias("version"), *ENTRY).write.mode("overwrite").json(path)
+    knowledge.select(F.lit(pack_id).alias("pack_id"), F.lit("1.0").alias("version"), *ENTRY).write.mode("overwrite").options(**TIMES).json(path)
 
 
 def import_pack(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**TIMES).json(path)
