@@ -2,8 +2,9 @@
 
 Vectors are spread over cells, one for each of a bounded sample of the rows (pivots), so dense regions get more
 cells. Each cell is split into shards with a hierarchical small-world graph each. A vector is indexed in the cell
-of its nearest pivot and searched there and in the cells of its next pivots; the lists of all shards are merged.
-Equal vectors are one node; their ids are put back at the end.
+of its nearest pivot and searched there and in the cells of its next pivots, or in all cells (``probes=None``); the
+lists of the shards are merged. A few probes find what is really alike (cosine of 0.95 and more), as such vectors
+share their nearest pivots; the nearest of vectors that have nothing alike may lie in any cell. Equal vectors are one node; their ids are put back at the end.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ CELL_ROWS = 2048
 SHARD_ROWS = 4096
 MAX_PIVOTS = 4096
 PROBES = 3
+EF = 32
 FIELDS = {"histogram_signature": (256, True), "ssim_features": (48, False)}
 
 
@@ -46,9 +48,9 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, size: int, non_negative: bool)
     return rows, x.astype(np.float32)
 
 
-def pivots(df: DataFrame, key: str, fields: dict, n: int) -> dict[str, np.ndarray]:
+def pivots(df: DataFrame, key: str, fields: dict, n: int, cell_rows: int) -> dict[str, np.ndarray]:
     """At most MAX_PIVOTS unit vectors per field, of the rows whose id's hash falls in the sample."""
-    want = max(1, min(MAX_PIVOTS, -(-n // CELL_ROWS)))
+    want = max(1, min(MAX_PIVOTS, -(-n // cell_rows)))
     share = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * (want + 8) / max(1, n)))
     got = df.where(share).select(*fields).limit(8 * (want + 8)).toArrow()
     out = {}
@@ -60,17 +62,17 @@ def pivots(df: DataFrame, key: str, fields: dict, n: int) -> dict[str, np.ndarra
     return out
 
 
-def rank_cells(x: np.ndarray, p: np.ndarray, probes: int) -> np.ndarray:
+def rank_cells(x: np.ndarray, p: np.ndarray, probes: int | None) -> np.ndarray:
     """The cells of the nearest pivots, nearest first."""
     if len(p) <= 1:
         return np.zeros((len(x), 1), np.int64)
     s = x @ p.T
-    top = min(probes, len(p))
+    top = min(probes or len(p), len(p))
     cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
     return np.take_along_axis(cells, np.argsort(-np.take_along_axis(s, cells, 1), axis=1, kind="stable"), 1)
 
 
-def search_cell(pdf: pd.DataFrame, size: int, k: int) -> Iterator[tuple[str, list[str], list[float]]]:
+def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF) -> Iterator[tuple[str, list[str], list[float]]]:
     """Lists (id, neighbours, similarities) of one cell: its own vectors and those that probe it."""
     vec = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, size)
     ids = pdf["id"].to_numpy(object)
@@ -92,7 +94,7 @@ def search_cell(pdf: pd.DataFrame, size: int, k: int) -> Iterator[tuple[str, lis
         si, ss = np.full((len(rows), k), -1, np.int64), np.full((len(rows), k), -np.inf, np.float32)
         si[inside], ss[inside] = g.own
         if not inside.all():
-            si[~inside], ss[~inside] = g.search(vec[rows[~inside]], k)
+            si[~inside], ss[~inside] = g.search(vec[rows[~inside]], k, ef)
         si = np.where(si >= 0, part[np.maximum(si, 0)], -1)
         best_i, best_s = np.concatenate([best_i, si], 1), np.concatenate([best_s, ss], 1)
         if best_i.shape[1] > k:
@@ -105,7 +107,7 @@ def search_cell(pdf: pd.DataFrame, size: int, k: int) -> Iterator[tuple[str, lis
             yield ids[i], ids[near[ok]].tolist(), exact.tolist()
 
 
-def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: int = PROBES) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, ef: int = EF) -> DataFrame:
     """(field_name, id, other, sim, rank): the k most similar other ids of every id, per vector field.
 
     Ids count once (their rows carry the same vector); ids without a usable vector neither query nor answer. Ties
@@ -115,7 +117,7 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
     names = list(fields)
     df = df.select(key, *fields).where(F.col(key).isNotNull())
     n = df.count()
-    piv = pivots(df, key, fields, n)
+    piv = pivots(df, key, fields, n, cell_rows)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +143,7 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
                 )
 
     def cell(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k))
+        found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k, ef))
         lists_ = {name: pd.Series([x[i] for x in found], dtype=object) for i, name in enumerate(("id", "others", "sims"))}
         return pd.DataFrame({"field": np.full(len(found), int(key_[0]), np.int32), **lists_})
 
