@@ -343,16 +343,15 @@ def mend(text: str, fixes: dict[int, tuple[str, int]]) -> str:
             continue
         repaired, n = fixes[i]
         if repaired:
-            head = re.match(r"^[\"'“‘(\[]*", pieces[i])[0]
-            last = pieces[min(i + 1, len(pieces) - 1)] if n == 2 else pieces[i]
-            tail = re.search(r"[.,;:?\"'”’)\]]*$", last)[0]
-            out.append(head + (repaired.capitalize() if pieces[i][len(head) : len(head) + 1].isupper() else repaired) + tail)
-            i += n if n == 1 else 1
+            head, first, last = re.match(r"^[\"'“‘(\[]*", pieces[i])[0], pieces[i], i
+            i += 1
             if n == 2:
                 # the other half may stand beyond lines that go
                 while i < len(pieces) and i in fixes and not fixes[i][0]:
                     i += fixes[i][1]
-                i += 1
+                last, i = min(i, len(pieces) - 1), i + 1
+            tail = re.search(r"[.,;:?\"'”’)\]]*$", pieces[last])[0]
+            out.append(head + (repaired.capitalize() if first[len(head) : len(head) + 1].isupper() else repaired) + tail)
         else:
             i += n
     return " ".join(out)
