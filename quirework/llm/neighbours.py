@@ -72,7 +72,7 @@ def rank_cells(x: np.ndarray, p: np.ndarray, probes: int | None) -> np.ndarray:
     return np.take_along_axis(cells, np.argsort(-np.take_along_axis(s, cells, 1), axis=1, kind="stable"), 1)
 
 
-def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF) -> Iterator[tuple[str, list[str], list[float]]]:
+def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF, least: float | None = None) -> Iterator[tuple[str, list[str], list[float]]]:
     """Lists (id, neighbours, similarities) of one cell: its own vectors and those that probe it."""
     vec = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, size)
     ids = pdf["id"].to_numpy(object)
@@ -101,13 +101,13 @@ def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF) -> Iterator[
             pick = np.argpartition(-best_s, k - 1, axis=1)[:, :k]
             best_i, best_s = np.take_along_axis(best_i, pick, 1), np.take_along_axis(best_s, pick, 1)
     for i, near, s in zip(rows, best_i, best_s):
-        ok = near >= 0
+        ok = (near >= 0) & (s >= -2 if least is None else s >= least - 1e-4)
         if ok.any():
             exact = vec[near[ok]].astype(np.float64) @ vec[i].astype(np.float64)
             yield ids[i], ids[near[ok]].tolist(), exact.tolist()
 
 
-def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, ef: int = EF) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, ef: int = EF, least: float | None = None) -> DataFrame:
     """(field_name, id, other, sim, rank): the k most similar other ids of every id, per vector field.
 
     Ids count once (their rows carry the same vector); ids without a usable vector neither query nor answer. Ties
@@ -143,7 +143,7 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
                 )
 
     def cell(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k, ef))
+        found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k, ef, least))
         lists_ = {name: pd.Series([x[i] for x in found], dtype=object) for i, name in enumerate(("id", "others", "sims"))}
         return pd.DataFrame({"field": np.full(len(found), int(key_[0]), np.int32), **lists_})
 
@@ -191,5 +191,5 @@ def expand(near: DataFrame, multi: DataFrame) -> DataFrame:
 
 def found(knowledge: DataFrame, least: float = 0.95) -> DataFrame:
     """Pairs with cosine similarity of at least ``least`` of which one is among the other's five most similar."""
-    n = neighbours(knowledge).where(F.col("sim") >= least)
+    n = neighbours(knowledge, least=least).where(F.col("sim") >= least)
     return n.select("field_name", F.least("id", "other").alias("entry_a"), F.greatest("id", "other").alias("entry_b")).distinct()
