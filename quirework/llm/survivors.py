@@ -6,7 +6,7 @@ Groups are the connected components of rows that share an id or a hash. Per fiel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -173,10 +173,17 @@ def consensus(values: DataFrame, group: str, value: str, weight: str) -> DataFra
         keyed = prof.withColumn("_s", F.pmod(F.xxhash64("h", F.lit(largest)), F.lit(max(1, parts * 2 if parts > 1 else 1))))
         prof = cut(keyed.groupBy("g", "_s").applyInPandas(lambda pdf: fold(pdf), schema))
         largest = prof.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    voted = F.udf(lambda p: vote([dict(c) for c in p]), "array<string>")
-    far = F.udf(lambda a, b: token_distance(a or [], b or []), "int")
-    w = prof.select("g", voted("p").alias("c"))
-    j = v.join(w, "g").withColumn("d", far(F.split("v", r"\s+"), "c"))
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"g": pdf["g"], "c": [vote([dict(c) for c in p]) for p in pdf["p"]]})
+
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["d"] = [token_distance(v.split(), list(c)) for v, c in zip(pdf["v"], pdf["c"])]
+            yield pdf
+
+    j = v.join(prof.mapInPandas(voted, "g string, c array<string>"), "g").select("g", "v", "w", "c").mapInPandas(far, "g string, v string, w double, c array<string>, d int")
     return j.groupBy("g").agg(F.min(F.struct("d", -F.col("w"), "v")).alias("m"), F.first(F.array_join("c", " ")).alias("consensus")).select(F.col("g").alias(group), "consensus", F.col("m")["v"].alias(value))
 
 
