@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.common import squeeze
+from quirework.session import cut
 
 #: The index is held by every worker; a larger lexicon is an error, not cut.
 MAX_LEXICON = 500_000
@@ -253,13 +254,18 @@ def latest(region_ocr: DataFrame) -> DataFrame:
 def volumes(regions: DataFrame) -> DataFrame:
     """(doc_id, header, title, offset): the most frequent header as letters and as printed, and the distance of
     printed page numbers from page_number; null where the volume shows none. Counts are combined before the shuffle."""
-    as_letters = F.udf(letters, "string")
-    value = F.udf(page_value, "int")
-    edge = regions.where(F.col("kind").isin("header", "footer"))
-    h = edge.where("kind = 'header'").select("doc_id", as_letters("raw_text").alias("header"), F.col("raw_text").alias("title")).where("length(header) >= 8")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            head = [letters(t) if k == "header" else None for t, k in zip(pdf["raw_text"], pdf["kind"])]
+            value = [page_value(t) for t in pdf["raw_text"]]
+            offset = [None if v is None or pd.isna(p) else v - int(p) for v, p in zip(value, pdf["page_number"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "header": head, "title": pdf["raw_text"], "offset": pd.array(offset, "Int32")})
+
+    edge = regions.where(F.col("kind").isin("header", "footer")).mapInPandas(run, "doc_id string, header string, title string, offset int")
+    h = edge.where("length(header) >= 8")
     h = h.groupBy("doc_id", "header").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("title")).groupBy("doc_id").agg(F.max(F.struct("n", "header", "title")).alias("h"))
-    o = edge.select("doc_id", (value("raw_text") - F.col("page_number")).alias("offset")).where("offset is not null")
-    o = o.groupBy("doc_id", "offset").count().groupBy("doc_id").agg(F.max(F.struct("count", "offset")).alias("o"))
+    o = edge.where("offset is not null").groupBy("doc_id", "offset").count().groupBy("doc_id").agg(F.max(F.struct("count", "offset")).alias("o"))
     return h.join(o, "doc_id", "full_outer").select("doc_id", "h.header", "h.title", "o.offset")
 
 
@@ -297,8 +303,8 @@ def find(region_ocr: DataFrame, lexicon: DataFrame) -> DataFrame:
     more frequent, the smaller word.
     """
     words = load_lexicon(lexicon)
-    regions = latest(region_ocr)
-    vols = volumes(regions)
+    regions = cut(latest(region_ocr))
+    vols = cut(volumes(regions))
     frame = frames(vols)
     cache: list[DeleteIndex] = []
 
