@@ -322,7 +322,7 @@ def find(region_ocr: DataFrame, lexicon: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "region_id", "token_idx", "defect", "repaired", "cost", "freq", "before", "after", "pieces", "n"])
 
     schema = "doc_id string, region_id string, token_idx int, defect string, repaired string, cost double, freq bigint, before string, after string, pieces int, n int"
-    d = regions.where("kind = 'paragraph'").join(vols.select("doc_id", "header", "offset"), "doc_id", "left").mapInPandas(run, schema)
+    d = cut(regions.where("kind = 'paragraph'").join(vols.select("doc_id", "header", "offset"), "doc_id", "left").mapInPandas(run, schema))
     b = bigrams(regions, words)
     p = b.select(F.col("a").alias("before"), F.col("b").alias("repaired"), F.col("n").alias("nb"))
     q = b.select(F.col("a").alias("repaired"), F.col("b").alias("after"), F.col("n").alias("na"))
