@@ -70,11 +70,12 @@ def schedule(targets_rows: list, total: int, block_tokens: int, spark) -> DataFr
 
 
 def blocks(docs_sized: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
-    """(doc_id, source, tokens, block): documents in the order of a hash, cut where the running size passes a
-    multiple of block_tokens. Repeated rows of one doc_id are one document."""
+    """(doc_id, source, tokens, before, block): documents in the order of a hash, cut where the running size passes a
+    multiple of block_tokens; before is the running size ahead of the document. Repeated rows of one doc_id are one
+    document."""
     d = docs_sized.groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens"))
     d = spread_prefix_sum(d, "source", ["doc_id"], "tokens", "_before", buckets)
-    return d.select("doc_id", "source", "tokens", F.floor(F.col("_before") / block_tokens).alias("block"))
+    return d.select("doc_id", "source", "tokens", F.col("_before").alias("before"), F.floor(F.col("_before") / block_tokens).alias("block"))
 
 
 def mix(docs: DataFrame, mix_targets: DataFrame, block_tokens: int = 65536, total: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -84,6 +85,23 @@ def mix(docs: DataFrame, mix_targets: DataFrame, block_tokens: int = 65536, tota
     max_repeats, size, planned_slots, placed_tokens, actual_share and short: whether the weight cannot be reached,
     i.e. target_weight x total > max_repeats x size. An empty corpus gives shares of null and total 0.
     """
+    return _mix(docs, mix_targets, block_tokens, total)[:2]
+
+
+def records(docs: DataFrame, mix_targets: DataFrame, block_tokens: int = 65536, total: int | None = None) -> DataFrame:
+    """The mix itself: one row (slot, position, doc_id, source, block, repeat, tokens) for every document placed.
+
+    The documents of a slot's block stand at the positions 0, 1, .. in the order in which the block was filled, the
+    same at every repeat. In the order (slot, position) the rows are the combined records.
+    """
+    plan, _, in_block = _mix(docs, mix_targets, block_tokens, total)
+    order = Window.partitionBy("source", "block").orderBy("before", "tokens", "doc_id")
+    d = in_block.select("source", "block", "doc_id", "tokens", (F.row_number().over(order) - 1).alias("position"))
+    return plan.drop("tokens").join(d, ["source", "block"]).select("slot", "position", "doc_id", "source", "block", "repeat", "tokens")
+
+
+def _mix(docs: DataFrame, mix_targets: DataFrame, block_tokens: int, total: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schedule, report, and the documents with their blocks."""
     spark = docs.sparkSession
     targets = load_targets(mix_targets)
     counted = cut(sized(docs, targets))  # three short columns; the texts are read once
@@ -93,7 +111,8 @@ def mix(docs: DataFrame, mix_targets: DataFrame, block_tokens: int = 65536, tota
     table = spark.createDataFrame(size_rows, "source string, target_weight double, max_repeats int, size bigint")
     slots = schedule(size_rows, total, block_tokens, spark)
     buckets = max(1, -(-whole // (block_tokens * 256)))
-    per_block = blocks(counted, block_tokens, buckets).groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
+    in_block = blocks(counted, block_tokens, buckets)
+    per_block = in_block.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     # blocks are numbered without gaps: a block that one long document jumps over does not exist
     per_block = spread_prefix_sum(per_block.withColumn("_one", F.lit(1)), "source", ["block"], "_one", "nth", max(1, buckets // 64)).drop("_one")
     n_blocks = per_block.groupBy("source").agg(F.count(F.lit(1)).alias("n_blocks"))
@@ -107,7 +126,7 @@ def mix(docs: DataFrame, mix_targets: DataFrame, block_tokens: int = 65536, tota
     report = table.join(planned, "source", "left").join(placed, "source", "left").withColumns({"planned_slots": F.coalesce("planned_slots", zero), "placed_tokens": F.coalesce("placed_tokens", zero)})
     report = report.withColumn("actual_share", F.col("placed_tokens") / F.nullif(F.sum("placed_tokens").over(Window.partitionBy()), zero))
     report = report.withColumn("short", F.coalesce(F.col("target_weight") * F.lit(float(total)) > F.col("max_repeats") * F.col("size"), F.lit(False)))
-    return plan, report
+    return plan, report, in_block
 
 
 def found(docs: DataFrame, mix_targets: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_fill": lambda s, d: packing.fill_report(packing.pack(t(s, d, "documents"))),
     "p8_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
     "p8_schedule": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[0],
+    "p8_records": lambda s, d: mixing.records(t(s, d, "documents"), t(s, d, "mix_targets")),
     "p8_report": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[1],
     "p9_found": lambda s, d: reading.found(t(s, d, "documents"), t(s, d, "level_labels")),
     "p9_levels": lambda s, d: reading.levels(t(s, d, "documents"), t(s, d, "level_labels")),

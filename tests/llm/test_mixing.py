@@ -36,6 +36,28 @@ def test_blocks_hold_every_document_once(spark):
     assert all(500 - 90 <= size[b] <= 500 + 90 for b in sorted(size)[:-1])
 
 
+def test_every_placed_document_comes_out(spark):
+    docs = spark.createDataFrame([(i, "a", "w " * (i % 50), 1) for i in range(400)] + [(1000 + i, "b", "w " * 30, 1) for i in range(60)] + [(5, "a", "w " * 5, 1)], D)
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3)], T)
+    plan, rows = M.mix(docs, targets, block_tokens=300)[0].collect(), M.records(docs, targets, block_tokens=300).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.slot, []).append(r)
+    assert set(slots) == {p.slot for p in plan}
+    for p in plan:
+        own = sorted(slots[p.slot], key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        assert sum(r.tokens for r in own) == p.tokens and {(r.source, r.block, r.repeat) for r in own} == {(p.source, p.block, p.repeat)}
+    uses = Counter(r.doc_id for r in rows)
+    assert len({(r.doc_id, r.repeat) for r in rows}) == len(rows) and max(n for d, n in uses.items() if d < 1000) == 1 and max(uses.values()) == 3
+    assert all(r.tokens == (r.doc_id % 50 if r.doc_id < 1000 else 30) for r in rows)
+    # a block has the same documents in the same order whenever it is taken
+    order = {}
+    for own in slots.values():
+        order.setdefault((own[0].source, own[0].block), set()).add(tuple(r.doc_id for r in sorted(own, key=lambda r: r.position)))
+    assert all(len(x) == 1 for x in order.values())
+
+
 def test_empty(spark):
     docs, targets = spark.createDataFrame([], D), spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1), ("b", None, None)], T)
     plan, report = M.mix(docs, targets)
