@@ -9,7 +9,9 @@ entries of the history again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import clean_hash
 from quirework.llm.graph import Nsw
-from quirework.session import cut
+from quirework.session import cut, ensure_checkpoint_dir
 
 RADIUS = 10
 SHARD = "bits int, segment bigint, n int, ef int, recall double, words binary, nbrs binary"
+ENTRY = "entry_id string, p string, d string"
 QUERY_ROWS = 32768
 
 
@@ -137,19 +140,77 @@ def found(knowledge: DataFrame, packs: DataFrame) -> DataFrame:
     return link(e, near_codes(e))
 
 
+def found_by_batch(knowledge: DataFrame, packs: DataFrame, path: str | None = None, compact_every: int = 4) -> DataFrame:
+    """The pairs of ``found`` from an index that grows: ``knowledge`` is its first batch, then the packs come in batches
+    by the month of receipt (those without a time first), each searched against all before it and itself. The index is
+    built in ``path`` and stays there; without one it is built in the checkpoint folder and deleted."""
+    spark = knowledge.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = path or f"{spark.sparkContext.getCheckpointDir()}/history-{uuid.uuid4().hex}"
+    index = HistoryIndex(spark, at, compact_every=compact_every)
+    columns = [F.col("phash").alias("code"), "dhash"]
+    month = F.date_format("received_at", "yyyy-MM")
+    e = packs.select(month.alias("month"), F.explode("entries").alias("e")).select("month", "e.entry_id", "e.phash", "e.dhash")
+    months = sorted((r["month"] for r in e.select("month").distinct().collect()), key=lambda m: m or "")  # one row per month
+    try:
+        index.add(knowledge.select("entry_id", *columns))
+        pairs = [index.feed(e.where(F.col("month").eqNullSafe(m)).select("entry_id", *columns)) for m in months]
+    finally:
+        if path is None:
+            index.delete()
+    none = spark.createDataFrame([], "entry_a string, entry_b string")
+    return reduce(DataFrame.unionByName, pairs, none).distinct()
+
+
 class HistoryIndex:
-    """Segments in a Parquet table: ``search`` a batch, ``add`` it as a new segment, ``compact`` on schedule."""
+    """Segments and entries in Parquet folders: ``search`` a batch, ``add`` it as a new segment, ``compact`` on schedule;
+    ``feed`` gives a batch's matching entries and adds it.
 
-    def __init__(self, spark: SparkSession, path: str, radius: int = RADIUS, compact_every: int = 16):
-        self.spark, self.path, self.radius, self.compact_every, self.generation = spark, path, radius, compact_every, 0
-        self.batches = 0
+    ``shards/gG/bN`` has the segments of batch N in generation G, ``entries/bN`` the batch's entries; a compaction
+    writes all segments up to the last batch N as one folder bN of the next generation. A folder counts when Spark has
+    marked it complete (_SUCCESS), so an index opened on a folder goes on from the last complete step, and a step that
+    broke off is written again. One index is written by one driver at a time.
+    """
 
-    @property
-    def _at(self) -> str:
-        return f"{self.path}/g{self.generation}"
+    def __init__(self, spark: SparkSession, path: str, radius: int = RADIUS, compact_every: int = 16):
+        self.spark, self.path, self.radius, self.compact_every = spark, path, radius, compact_every
+        self.generation, self._numbers = 0, []
+        for g in sorted(self._children("shards", "g")):
+            if numbers := self._complete(f"shards/g{g}"):
+                self.generation, self._numbers = g, numbers
+        self.batches = self._numbers[-1] + 1 if self._numbers else 0
+
+    def _hadoop(self, name: str):
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+    def _children(self, name: str, letter: str) -> list[int]:
+        fs, at = self._hadoop(name)
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return [int(x[1:]) for x in names if x[:1] == letter and x[1:].isdigit()]
+
+    def _complete(self, name: str) -> list[int]:
+        """Numbers of the complete batch folders."""
+        out = []
+        for n in sorted(self._children(name, "b")):
+            fs, at = self._hadoop(f"{name}/b{n}/_SUCCESS")
+            if fs.exists(at):
+                out.append(n)
+        return out
+
+    def delete(self) -> None:
+        fs, at = self._hadoop("")
+        fs.delete(at, True)
 
     def shards(self) -> DataFrame | None:
-        return self.spark.read.schema(SHARD).parquet(self._at) if self.batches else None
+        at = [f"{self.path}/shards/g{self.generation}/b{n}" for n in self._numbers]
+        return self.spark.read.schema(SHARD).parquet(*at) if at else None
+
+    def entries(self) -> DataFrame:
+        """(entry_id, p, d) of all batches that came with entry ids."""
+        at = [f"{self.path}/entries/b{n}" for n in self._complete("entries") if n < self.batches]
+        return self.spark.read.schema(ENTRY).parquet(*at) if at else self.spark.createDataFrame([], ENTRY)
 
     def search(self, codes: DataFrame) -> DataFrame:
         """(a, b, d) of the batch's codes (code) against all segments."""
@@ -160,14 +221,45 @@ class HistoryIndex:
     def _clean(self, codes: DataFrame) -> DataFrame:
         return codes.select(clean_hash(F.col("code")).alias("code")).where("code is not null").distinct().withColumn("bits", F.length("code") * 4)
 
-    def add(self, codes: DataFrame) -> None:
-        """The batch as new segments; every ``compact_every`` batches the segments are merged."""
-        q = self._clean(codes).withColumn("segment", F.lit(self.batches).cast("bigint") * 1_000_000 + F.pmod(F.xxhash64("code"), F.lit(max(1, -(-codes.count() // 8192)))))
-        build_shards(q.select("bits", "segment", "code"), self.radius).write.mode("append").parquet(self._at)
+    def _entries(self, batch: DataFrame) -> DataFrame:
+        e = batch.select("entry_id", clean_hash(F.col("code")).alias("p"), clean_hash(F.col("dhash")).alias("d"))
+        return e.where("entry_id is not null and p is not null").distinct()
+
+    def _segments(self, q: DataFrame) -> DataFrame:
+        n = max(1, -(-q.count() // 8192))
+        seg = q.withColumn("segment", F.lit(self.batches).cast("bigint") * 1_000_000 + F.pmod(F.xxhash64("code"), F.lit(n)))
+        return build_shards(seg.select("bits", "segment", "code"), self.radius)
+
+    def _accept(self, segments: DataFrame, e: DataFrame | None) -> None:
+        """The entries first: the batch counts when its segments are complete."""
+        if e is not None:
+            e.write.mode("overwrite").parquet(f"{self.path}/entries/b{self.batches}")
+        segments.write.mode("overwrite").parquet(f"{self.path}/shards/g{self.generation}/b{self.batches}")
+        self._numbers.append(self.batches)
         self.batches += 1
-        if self.batches % self.compact_every == 0:
+        if len(self._numbers) - (self.generation > 0) >= self.compact_every:
             self.compact()
 
+    def add(self, batch: DataFrame) -> None:
+        """The batch (code and, for ``feed``, entry_id and dhash) as new segments; every ``compact_every`` batches the
+        segments are merged."""
+        e = cut(self._entries(batch)) if "entry_id" in batch.columns else None
+        q = self._clean(batch if e is None else e.select(F.col("p").alias("code")))
+        self._accept(self._segments(q), e)
+
+    def feed(self, batch: DataFrame) -> DataFrame:
+        """Pairs (entry_a, entry_b) of the batch's entries (entry_id, code, dhash) with those of the index and with each
+        other, whose phashes and, if both are there, dhashes lie within the radius; then the batch is added. The
+        pairs are complete before the index changes, so a step that broke off can be done again."""
+        e = cut(self._entries(batch))
+        q = self._clean(e.select(F.col("p").alias("code")))
+        own, old = cut(self._segments(q)), self.shards()
+        near = search(own if old is None else old.unionByName(own), q, self.radius)
+        both = self.entries().withColumn("from_pack", F.lit(False)).unionByName(e.withColumn("from_pack", F.lit(True)))
+        pairs = cut(link(both, near, self.radius))
+        self._accept(own, e)
+        return pairs
+
     def compact(self) -> None:
         """Merge all segments to full ones, in a new generation beside the old."""
         s = self.shards()
@@ -181,7 +273,9 @@ class HistoryIndex:
 
         codes = s.mapInPandas(names, "bits int, code string").distinct()
         sizes = {r["bits"]: r["n"] for r in s.groupBy("bits").agg(F.sum("n").alias("n")).collect()}
+        if not sizes:
+            return
         n_seg = F.create_map(*[F.lit(x) for b, c in sizes.items() for x in (b, -(-c // segment_size(b)))])[F.col("bits")]
         seg = codes.withColumn("segment", F.pmod(F.xxhash64("code", F.lit(7)), n_seg)).select("bits", "segment", "code")
-        build_shards(seg, self.radius).write.mode("overwrite").parquet(f"{self.path}/g{self.generation + 1}")
-        self.generation += 1
+        build_shards(seg, self.radius).write.mode("overwrite").parquet(f"{self.path}/shards/g{self.generation + 1}/b{self.batches - 1}")
+        self.generation, self._numbers = self.generation + 1, [self.batches - 1]

@@ -58,6 +58,31 @@ def test_index_grows_by_batches(spark, tmp_path):
     assert {(c, c) for c in codes} <= again
 
 
+def test_index_opened_again_gives_entries(spark, tmp_path):
+    E2 = "entry_id string, code string, dhash string"
+    c = make(6, 4)
+    far = f"{int(c[0], 16) ^ (2**40 - 1):0{len(c[0])}x}"
+    first = [("a", c[0], c[0]), ("b", c[2], None), ("c", c[4], c[4]), (None, c[6], None)]
+    H.HistoryIndex(spark, str(tmp_path), compact_every=2).add(spark.createDataFrame(first, E2))
+    # what a step that broke off has left does not count
+    (tmp_path / "shards/g1/b0").mkdir(parents=True)
+    (tmp_path / "entries/b1").mkdir()
+    index = H.HistoryIndex(spark, str(tmp_path), compact_every=2)
+    assert (index.generation, index.batches) == (0, 1)
+    second = [("n", " 0x" + c[0].upper(), c[0]), ("m", c[0], far), ("o", c[2], far), ("a", c[0], c[0])]
+    got = {tuple(r) for r in index.feed(spark.createDataFrame(second, E2)).collect()}
+    assert got == {("a", "n"), ("b", "o")}
+    index = H.HistoryIndex(spark, str(tmp_path), compact_every=2)
+    assert (index.generation, index.batches) == (1, 2) and index.entries().count() == 7
+    assert {tuple(r) for r in index.feed(spark.createDataFrame([("z", c[4], None)], E2)).collect()} == {("c", "z")}
+
+
+def test_batches_give_the_pairs_of_the_whole(spark, sf):
+    k, p = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("knowledge", "knowledge_packs"))
+    want = {tuple(r) for r in H.found(k, p).collect()}
+    assert len(want) > 5 and {tuple(r) for r in H.found_by_batch(k, p, compact_every=2).collect()} == want
+
+
 def test_words_round_trip():
     for bits in (64, 256, 40):
         codes = [f"{random.Random(i).getrandbits(bits):0{bits // 4}x}" for i in range(5)]
