@@ -2,13 +2,15 @@
 
 Vectors are spread over cells, one for each of a bounded sample of the rows (pivots), so dense regions get more
 cells. Each cell is split into shards with a hierarchical small-world graph each. A vector is indexed in the cell
-of its nearest pivot and searched there and in the cells of its next pivots, or in all cells (``probes=None``); the
-lists of the shards are merged. A few probes find what is really alike (cosine of 0.95 and more), as such vectors
-share their nearest pivots; the nearest of vectors that have nothing alike may lie in any cell. Equal vectors are one node; their ids are put back at the end.
+of its nearest pivot and searched there and in the cells of its next pivots: a number of them, a share of all cells
+or all (``probes=None``); the lists of the shards are merged. A few probes find what is really alike (cosine of 0.95
+and more), as such vectors share their nearest pivots; the nearest of vectors that have nothing alike may lie in any
+cell, so for them the probes must grow with the number of cells. Equal vectors are one node; their ids are put back at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,14 @@ K = 5
 CELL_ROWS = 2048
 SHARD_ROWS = 4096
 MAX_PIVOTS = 4096
+#: Probes and beam for what is alike, and for the nearest of every vector (a share of the cells).
 PROBES = 3
 EF = 32
+SHARE = 0.6
+WIDE_EF = 96
+#: About so many vectors from other cells are searched in a cell at a time; more come in several blocks.
+GUEST_ROWS = 32768
+SPREAD_BYTES = 32 << 20
 FIELDS = {"histogram_signature": (256, True), "ssim_features": (48, False)}
 
 
@@ -62,12 +70,19 @@ def pivots(df: DataFrame, key: str, fields: dict, n: int, cell_rows: int) -> dic
     return out
 
 
-def rank_cells(x: np.ndarray, p: np.ndarray, probes: int | None) -> np.ndarray:
+def n_probes(probes: float | None, cells: int) -> int:
+    """Cells to search: an int is their number, a float a share of all but at least PROBES, None all."""
+    if isinstance(probes, float):
+        probes = max(PROBES, math.ceil(probes * cells))
+    return min(probes or cells, cells)
+
+
+def rank_cells(x: np.ndarray, p: np.ndarray, probes: float | None) -> np.ndarray:
     """The cells of the nearest pivots, nearest first."""
     if len(p) <= 1:
         return np.zeros((len(x), 1), np.int64)
     s = x @ p.T
-    top = min(probes or len(p), len(p))
+    top = n_probes(probes, len(p))
     cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
     return np.take_along_axis(cells, np.argsort(-np.take_along_axis(s, cells, 1), axis=1, kind="stable"), 1)
 
@@ -107,17 +122,21 @@ def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF, least: float
             yield ids[i], ids[near[ok]].tolist(), exact.tolist()
 
 
-def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: int | None = PROBES, cell_rows: int = CELL_ROWS, ef: int = EF, least: float | None = None) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: float | None = SHARE, cell_rows: int = CELL_ROWS, ef: int = WIDE_EF, least: float | None = None) -> DataFrame:
     """(field_name, id, other, sim, rank): the k most similar other ids of every id, per vector field.
 
     Ids count once (their rows carry the same vector); ids without a usable vector neither query nor answer. Ties
-    go to the smaller id. Null ids do not count. Fewer than k come out only where a collection has fewer.
+    go to the smaller id. Null ids do not count. Only the probed cells are searched, and there with a beam of ef, so
+    some of the k may be missed and others come out instead; fewer than k come out where the probed cells hold fewer
+    or, with ``least``, where fewer are that similar.
     """
     fields = fields or FIELDS
     names = list(fields)
     df = df.select(key, *fields).where(F.col(key).isNotNull())
     n = df.count()
     piv = pivots(df, key, fields, n, cell_rows)
+    # a cell's own vectors meet its guests block by block, so a task does not grow with the number of rows
+    n_blocks = {f: max(1, -(-n * (n_probes(probes, len(p)) - 1) // (len(p) * GUEST_ROWS))) if len(p) else 1 for f, p in piv.items()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,12 +154,24 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
                 cells = rank_cells(x, piv[name], probes)
                 m, c = cells.shape
                 size = x.shape[1] * 4
-                vec = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-                again = pa.array(np.tile(np.arange(m), c))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m * c, f, np.int32)), pa.array(cells.T.ravel().astype(np.int32)), pa.array(np.arange(m * c) < m), pa.array(ids[rows], pa.string()).take(again), pa.array(np.tile(h[:, 0], c)), pa.array(np.tile(h[:, 1], c)), vec.take(again)],
-                    names=["field", "cell", "own", "id", "h1", "h2", "vec"],
-                )
+                own_blocks = n_blocks[name]
+                step = max(1, SPREAD_BYTES // (size * (c + own_blocks - 1)))
+                for i in range(0, m, step):
+                    yield copies(f, ids[rows[i : i + step]], x[i : i + step], h[i : i + step], cells[i : i + step], own_blocks)
+
+    def copies(f: int, ids: np.ndarray, x: np.ndarray, h: np.ndarray, cells: np.ndarray, own_blocks: int) -> pa.RecordBatch:
+        """The vectors once for every cell they go to: own rows to every block of their cell, guests to that of their
+        hash (equal vectors stay together)."""
+        m, c = cells.shape
+        size = x.shape[1] * 4
+        vec = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+        again = pa.array(np.concatenate([np.repeat(np.arange(m), own_blocks), np.tile(np.arange(m), c - 1)]))
+        at = np.concatenate([np.repeat(cells[:, 0], own_blocks), cells[:, 1:].T.ravel()])
+        block = np.concatenate([np.tile(np.arange(own_blocks), m), np.tile(h[:, 0] % own_blocks, c - 1)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(at), f, np.int32)), pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.arange(len(at)) < m * own_blocks), pa.array(ids, pa.string()).take(again), pa.array(h[:, 0]).take(again), pa.array(h[:, 1]).take(again), vec.take(again)],
+            names=["field", "cell", "block", "own", "id", "h1", "h2", "vec"],
+        )
 
     def cell(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k, ef, least))
@@ -151,10 +182,10 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
         return [F.xxhash64(F.col(name)).alias(f"h1_{f}"), F.xxhash64(F.lit(f + 1), F.col(name)).alias(f"h2_{f}")]
 
     hashed = df.select(key, *names, *[h for f, name in enumerate(names) for h in hashes(f, name)])
-    rows = hashed.mapInArrow(spread, "field int, cell int, own boolean, id string, h1 bigint, h2 bigint, vec binary")
-    n_cells = sum(max(1, len(p)) for p in piv.values())
-    rows = rows.repartition(max(1, min(n_cells, 20_000)), "field", "cell")
-    lists = rows.groupBy("field", "cell").applyInPandas(cell, "field int, id string, others array<string>, sims array<double>")
+    rows = hashed.mapInArrow(spread, "field int, cell int, block int, own boolean, id string, h1 bigint, h2 bigint, vec binary")
+    n_tasks = sum(max(1, len(p)) * n_blocks[f] for f, p in piv.items())
+    rows = rows.repartition(max(1, min(n_tasks, 20_000)), "field", "cell", "block")
+    lists = rows.groupBy("field", "cell", "block").applyInPandas(cell, "field int, id string, others array<string>, sims array<double>")
     best = lists.groupBy("field", "id").agg(F.flatten(F.collect_list(F.arrays_zip("others", "sims"))).alias("x"))
     near = best.select("field", "id", F.explode("x").alias("x")).select("field", "id", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"))
 
@@ -191,5 +222,5 @@ def expand(near: DataFrame, multi: DataFrame) -> DataFrame:
 
 def found(knowledge: DataFrame, least: float = 0.95) -> DataFrame:
     """Pairs with cosine similarity of at least ``least`` of which one is among the other's five most similar."""
-    n = neighbours(knowledge, least=least).where(F.col("sim") >= least)
+    n = neighbours(knowledge, probes=PROBES, ef=EF, least=least).where(F.col("sim") >= least)
     return n.select("field_name", F.least("id", "other").alias("entry_a"), F.greatest("id", "other").alias("entry_b")).distinct()

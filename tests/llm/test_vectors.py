@@ -43,6 +43,22 @@ def test_all_pairs_recall(spark):
     assert all(abs(sim - s[i, j]) < 1e-6 for i, o in got.items() for j, sim in o.items())
 
 
+def test_recall_of_vectors_with_nothing_alike(spark, monkeypatch):
+    """Thirty cells; the guests of a cell come in several blocks."""
+    x = np.random.default_rng(3).normal(size=(3000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"{i:05d}", r.tolist()) for i, r in enumerate(x)], "entry_id string, v array<double>")
+    monkeypatch.setattr(N, "GUEST_ROWS", 1000, raising=False)
+    got = {}
+    for r in N.neighbours(df, fields={"v": (12, False)}, cell_rows=100).collect():
+        got.setdefault(int(r.id), set()).add(int(r.other))
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert all(len(o) == 5 for o in got.values())
+    assert np.mean([len(got[i] & set(want[i])) / 5 for i in range(len(x))]) >= 0.9
+
+
 def test_dirty_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1, 0, 0, 0], 1), ("b", [1, 0, 0, 0], 1), ("c", [0.9, 0.1, 0, 0], 1), ("c", [0.9, 0.1, 0, 0], 1), ("d", None, 1), ("e", [0.0] * 4, 1), (None, [1.0] * 4, 1), ("f", [nan, 1, 1, 1], 1), ("g", [1.0], 1), ("h", [], 1), ("i", [inf, 1, 1, 1], 1), ("j", [None, 1.0, 1, 1], 1), ("k", [1e300, 0, 0, 0], 1)]
