@@ -261,7 +261,8 @@ class Nsw:
         self.far[node] = np.take_along_axis(all_d, pick, 1)
 
     def tune(self, radius: int, sample: int = 256, goal: float = 0.99, widest: int = 512) -> float:
-        """Widen the beam until ``goal`` of the sampled nodes are found again; returns the share reached."""
+        """Widen the beam until ``goal`` of the sampled nodes are found again, beyond ``widest`` to all nodes (then
+        ``within`` compares exhaustively); returns the share reached."""
         n = len(self.words)
         rng = np.random.default_rng(n)
         pick = rng.choice(n, min(n, sample), replace=False)
@@ -275,9 +276,9 @@ class Nsw:
             found = self.within(q, radius)
             hits = sum(np.isin(t, found[1][found[0] == i]).sum() for i, t in enumerate(truth))
             share = hits / max(1, sum(len(t) for t in truth))
-            if share >= goal or self.ef >= min(widest, n):
+            if share >= goal or self.ef >= n:
                 return share
-            self.ef *= 2
+            self.ef = self.ef * 2 if self.ef < widest else n
 
     def within(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, node, distance) of the nodes found within the radius. A beam that the answers fill to
@@ -291,6 +292,13 @@ class Nsw:
                 step = max(1, min(QUERY_BLOCK, (64 << 20) // max(1, n)))
                 full = []
                 for r in np.array_split(rows, -(-len(rows) // step)):
+                    if ef >= n:  # as wide as the segment: compare with every node
+                        for k in r:
+                            ds = hamming(self.words, q[k][None])
+                            j = np.flatnonzero(ds <= radius)
+                            out.append((np.full(j.size, k), j.astype(np.int32), ds[j]))
+                        full.append(r[:0])
+                        continue
                     ids, ds = beam(self.words, self.nbrs, q[r], self.entries(q[r], n), ef, "hamming")
                     hit = ds <= radius
                     crowded = (hit.sum(1) * 2 > ef) & (ef < n)

@@ -111,3 +111,15 @@ def test_bit_graph_widens_for_crowds():
     g.tune(10)
     r, _, _ = g.within(base, 10)
     assert len(r) == int((np.bitwise_count(w ^ base).sum(1) <= 10).sum()) >= 890
+
+
+def test_segment_below_the_goal_is_compared_exhaustively():
+    rng = np.random.default_rng(7)
+    w = rng.integers(0, 2**64, size=(2000, 1), dtype=np.uint64)
+    g = Nsw.build(w, 64)
+    g.nbrs[:] = -1  # no beam gets anywhere
+    assert g.tune(10) == 1.0
+    q = flip(w[:300], 64, 10, rng)
+    r, node, d = g.within(q, 10)
+    dist = np.bitwise_count(q[:, None, 0] ^ w[None, :, 0])
+    assert sorted(zip(r.tolist(), node.tolist())) == sorted(map(tuple, np.argwhere(dist <= 10).tolist()))
