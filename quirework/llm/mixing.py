@@ -130,7 +130,7 @@ def _mix(docs: DataFrame, mix_targets: DataFrame, block_tokens: int, total: int
 
 
 def found(docs: DataFrame, mix_targets: DataFrame) -> DataFrame:
-    """Sources whose slots run dry. The schedule finds the candidates: sources with fewer tokens placed than their
-    weight asks for, up to the size of a block and document; the exact comparison of sizes decides."""
+    """Sources that cannot reach their weight. The exact comparison of sizes in the report alone decides: what is placed
+    never exceeds max_repeats x size, so the condition on the schedule removes no source."""
     _, report = mix(docs, mix_targets)
     return report.where("short").where(F.col("placed_tokens") <= F.col("max_repeats") * F.col("size")).select("source")
