@@ -280,13 +280,27 @@ class Nsw:
                 return share
             self.ef = self.ef * 2 if self.ef < widest else n
 
+    def possible(self, q: np.ndarray, radius: int) -> np.ndarray:
+        """Numbers of the queries that can have a node within the radius: that many flipped bits touch at most as many
+        bands, so the others must occur in the segment. Codes with no more bands than that are all possible."""
+        need = self.sorted.shape[1] - radius
+        if need <= 0 or not len(self.words):
+            return np.arange(len(q))
+        parts = q.view(np.uint16)[:, : self.sorted.shape[1]]
+        hits = np.zeros(len(q), np.int64)
+        for b in range(self.sorted.shape[1]):
+            at = np.minimum(np.searchsorted(self.sorted[:, b], parts[:, b]), len(self.words) - 1)
+            hits += self.sorted[at, b] == parts[:, b]
+        return np.flatnonzero(hits >= need)
+
     def within(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, node, distance) of the nodes found within the radius. A beam that the answers fill to
         more than half is widened, as far as the whole graph, so that no number of answers is cut."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = len(self.words)
-        for at in range(0, len(q), QUERY_BLOCK):
-            rows = np.arange(at, min(len(q), at + QUERY_BLOCK))
+        wanted = self.possible(q, radius)
+        for at in range(0, len(wanted), QUERY_BLOCK):
+            rows = wanted[at : at + QUERY_BLOCK]
             ef = min(self.ef, n)
             while rows.size:
                 step = max(1, min(QUERY_BLOCK, (64 << 20) // max(1, n)))

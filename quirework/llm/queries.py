@@ -15,7 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: survivors.found(t(s, d, "knowledge")),
     "p2_consensus": lambda s, d: survivors.consensus_values(t(s, d, "knowledge")),
     "p4_found": lambda s, d: history.found(t(s, d, "knowledge"), t(s, d, "knowledge_packs")),
-    "p4_by_batch": lambda s, d: history.found_by_batch(t(s, d, "knowledge"), t(s, d, "knowledge_packs")),
     "p5_found": lambda s, d: ocr_repair.found(t(s, d, "region_ocr"), t(s, d, "lexicon")),
     "p5_paragraphs": lambda s, d: ocr_repair.paragraphs(t(s, d, "region_ocr"), t(s, d, "lexicon")),
     "p6_found": lambda s, d: quantiles.found(t(s, d, "region_ocr")),

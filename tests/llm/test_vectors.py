@@ -102,6 +102,15 @@ def test_bit_graph_recall():
         assert np.mean([(i, i) in hit for i in range(500)]) >= 0.95 and (d <= 10).all()
 
 
+def test_queries_without_possible_answer_are_not_searched():
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 2**64, size=(2000, 4), dtype=np.uint64)
+    g = Nsw.build(w, 256)
+    q = np.concatenate([flip(w[:300], 256, 10, rng), rng.integers(0, 2**64, size=(300, 4), dtype=np.uint64)])
+    ok = g.possible(q, 10)
+    assert set(range(300)) <= set(ok.tolist()) and len(ok) < 330
+
+
 def test_bit_graph_widens_for_crowds():
     """More answers than any beam: none is cut."""
     rng = np.random.default_rng(6)
