@@ -112,35 +112,31 @@ def add_reverse(nbrs: np.ndarray, ds: np.ndarray, cap: int) -> np.ndarray:
 class Hnsw:
     """Hierarchical graph of one shard of unit vectors, loaded in bulk.
 
-    Layer l holds every 16^l-th node. The links of a layer come from the exact similarities within the shard: of the
-    nearest ``2m`` nodes those are linked that are nearer to the node than to any one linked before (so links leave
-    dense clusters), then the nearest others, m in all, and m reverse links. ``own`` keeps the exact nearest k.
+    Layer l holds every 16^l-th node. The links of a layer come from the similarities within the shard, which for a
+    shard of bounded size costs less than inserting node by node: of the nearest ``2m`` nodes those are linked that are
+    nearer to the node than to any one linked before (so links leave dense clusters), then the nearest others, m in
+    all, and m reverse links. All lists come from walks over these links, also those of the shard's own nodes.
     """
 
-    def __init__(self, vecs: np.ndarray, k: int = 5, m: int = 12):
+    def __init__(self, vecs: np.ndarray, m: int = 16):
         self.vecs = vecs
-        n = len(vecs)
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
-        nodes = np.arange(n)
+        nodes = np.arange(len(vecs))
         while True:
-            nbrs, near, sims = self._links(vecs[nodes], m, k)
-            if not self.layers:
-                self.own = near, sims
-            self.layers.append((nodes, nbrs))
+            self.layers.append((nodes, self._links(vecs[nodes], m)))
             if len(nodes) <= 64:
                 break
             nodes = nodes[::16]
 
     @staticmethod
-    def _links(v: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _links(v: np.ndarray, m: int) -> np.ndarray:
         n = len(v)
-        c = min(max(2 * m, k), n - 1)
+        c = min(2 * m, n - 1)
         if c <= 0:
-            none = np.full((n, m), -1, np.int32)
-            return none, np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
+            return np.full((n, m), -1, np.int32)
         s = v @ v.T
         np.fill_diagonal(s, -np.inf)
-        cand = np.argpartition(s, n - c, axis=1)[:, n - c :] if c < n else np.argsort(s, axis=1)
+        cand = np.concatenate([np.argpartition(s[at : at + 1024], n - c, axis=1)[:, n - c :] for at in range(0, n, 1024)])
         sim = np.take_along_axis(s, cand, 1)
         order = np.lexsort((cand, -sim), axis=1)
         cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
@@ -154,11 +150,20 @@ class Hnsw:
             if i + 1 < c and r.size:
                 closest[r, i + 1 :] = np.maximum(closest[r, i + 1 :], s[cand[r, i][:, None], cand[r, i + 1 :]])
         rank = np.argsort(~kept, axis=1, kind="stable")[:, : min(m, c)]
-        nbrs, d = np.take_along_axis(cand, rank, 1), 1 - np.take_along_axis(sim, rank, 1)
-        near = np.full((n, k), -1, np.int32)
-        top = np.full((n, k), -np.inf, np.float32)
-        near[:, : min(k, c)], top[:, : min(k, c)] = cand[:, :k], sim[:, :k]
-        return add_reverse(nbrs, d, m), near, top
+        return add_reverse(np.take_along_axis(cand, rank, 1), 1 - np.take_along_axis(sim, rank, 1), m)
+
+    def search_own(self, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """(node numbers, similarities) of the k most similar other nodes of every node, by a beam that starts there."""
+        n = len(self.vecs)
+        out_i, out_s = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, np.float32)
+        for at in range(0, n, QUERY_BLOCK):
+            rows = np.arange(at, min(n, at + QUERY_BLOCK))
+            got, d = beam(self.vecs, self.layers[0][1], self.vecs[rows], rows[:, None], max(ef, k + 1), "cosine")
+            d = np.where(got == rows[:, None], np.inf, d)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            d = np.take_along_axis(d, order, 1)
+            out_i[rows], out_s[rows] = np.where(np.isfinite(d), np.take_along_axis(got, order, 1), -1), 1 - d
+        return out_i, out_s
 
     def search(self, q: np.ndarray, k: int = 5, ef: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """(node numbers, similarities) of the k most similar nodes that the beam finds."""

@@ -1,11 +1,13 @@
 """The k most similar vectors for every vector.
 
-Vectors are spread over cells, one for each of a bounded sample of the rows (pivots), so dense regions get more
-cells. Each cell is split into shards with a hierarchical small-world graph each. A vector is indexed in the cell
-of its nearest pivot and searched there and in the cells of its next pivots: a number of them, a share of all cells
-or all (``probes=None``); the lists of the shards are merged. A few probes find what is really alike (cosine of 0.95
-and more), as such vectors share their nearest pivots; the nearest of vectors that have nothing alike may lie in any
-cell, so for them the probes must grow with the number of cells. Equal vectors are one node; their ids are put back at the end.
+Vectors are spread over cells, the regions of centres fitted on a bounded sample and shifted so that the cells hold
+about equally many. Each cell is a shard with a hierarchical small-world graph (a cell that turns out larger is split
+into several). A vector is indexed in the cell of its first centre; there it is searched from its own node, and in the
+cells of its next centres from above: in a number of cells, a share of all or all (``probes=None``). The lists of the
+shards are merged. Two probes find what is really alike (cosine of 0.95 and more), as such vectors share their first
+centres; the nearest of vectors that have nothing alike may lie in any cell, so for them the probes must grow with the
+number of cells. ``exact=True`` compares with every vector of every cell instead of walking the graphs. Equal vectors
+are one node; their ids are put back at the end.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from quirework.llm.graph import Hnsw
 from quirework.session import cut
 
 K = 5
-CELL_ROWS = 2048
-SHARD_ROWS = 4096
-MAX_PIVOTS = 4096
+CELL_ROWS = 4096
+#: A cell that holds more is split into shards, which are all searched.
+SHARD_ROWS = 6144
+#: The centres are fitted on a sample of about so many ids for each, at least SAMPLE_ROWS in all.
+MAX_CENTRES = 8192
+SAMPLE_PER_CENTRE = 8
+SAMPLE_ROWS = 16384
 #: Probes and beam for what is alike, and for the nearest of every vector (a share of the cells).
-PROBES = 3
+PROBES = 2
 EF = 32
-SHARE = 0.6
+SHARE = 0.7
 WIDE_EF = 96
-#: About so many vectors from other cells are searched in a cell at a time; more come in several blocks.
+#: About so many vectors from other cells are searched in a shard at a time; more come in several blocks.
 GUEST_ROWS = 32768
 SPREAD_BYTES = 32 << 20
 FIELDS = {"histogram_signature": (256, True), "ssim_features": (48, False)}
@@ -56,18 +62,78 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, size: int, non_negative: bool)
     return rows, x.astype(np.float32)
 
 
-def pivots(df: DataFrame, key: str, fields: dict, n: int, cell_rows: int) -> dict[str, np.ndarray]:
-    """At most MAX_PIVOTS unit vectors per field, of the rows whose id's hash falls in the sample."""
-    want = max(1, min(MAX_PIVOTS, -(-n // cell_rows)))
-    share = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * (want + 8) / max(1, n)))
-    got = df.where(share).select(*fields).limit(8 * (want + 8)).toArrow()
-    out = {}
-    for f, (size, neg) in fields.items():
-        _, x = unit_rows(got[f], size, neg)
-        # repeated rows are one pivot
-        _, first = np.unique(x, axis=0, return_index=True)
-        out[f] = x[np.sort(first)][:want]
-    return out
+class Cells:
+    """Centres of the cells of one field, with the offsets that balance them, and how often each is first or a later
+    choice in the sample, as numbers of shards and blocks."""
+
+    def __init__(self, sample: np.ndarray, n: int, cell_rows: int, probes: float | None):
+        _, first = np.unique(sample, axis=0, return_index=True)  # repeated rows are one point
+        x = sample[np.sort(first)]
+        k = max(1, min(MAX_CENTRES, -(-n // cell_rows), len(x)))
+        self.centres, self.offset = x[:k].copy(), np.zeros(k, np.float32)
+        self.shards, self.blocks = np.ones(k, np.int64), np.ones(k, np.int64)
+        if k > 1:
+            self._fit(x)
+        self.probes = n_probes(probes, k)
+        if len(x):
+            ranked = self.rank(x)
+            times = n / len(x)
+            self.shards = np.maximum(1, np.ceil(np.bincount(ranked[:, 0], minlength=k) * times / SHARD_ROWS)).astype(np.int64)
+            guests = np.bincount(ranked[:, 1:].ravel(), minlength=k) * times
+            self.blocks = np.maximum(1, np.ceil(guests / GUEST_ROWS)).astype(np.int64)
+
+    def _fit(self, x: np.ndarray, moves: int = 6, rounds: int = 24) -> None:
+        """Spherical means, then offsets that push cells above their share away: the step of a cell shrinks when it
+        goes from too large to too small or back. The best of the rounds counts."""
+        k = len(self.centres)
+        step, before, best = np.zeros(k), np.zeros(k), (np.inf, self.offset)
+        for r in range(moves + rounds):
+            home, spread = [], []
+            for at in range(0, len(x), 2048):
+                s = x[at : at + 2048] @ self.centres.T - self.offset
+                home.append(s.argmax(1))
+                if r == moves:  # how far apart the first two choices of the points are
+                    two = np.partition(s, k - 2, axis=1)[:, -2:]
+                    spread.append(two[:, 1] - two[:, 0])
+            own = np.concatenate(home)
+            count = np.bincount(own, minlength=k)
+            if r < moves:
+                order = np.argsort(own, kind="stable")
+                has = np.flatnonzero(count)
+                c = np.add.reduceat(x[order], (np.cumsum(count) - count)[has], axis=0)
+                self.centres[has] = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+                continue
+            if count.max() < best[0]:
+                best = count.max(), self.offset.copy()
+            if r == moves:
+                gap = np.concatenate(spread)
+                near = np.bincount(own, weights=gap, minlength=k) / np.maximum(count, 1)
+                step = np.where(near > 0, near, gap.mean()) / 4
+            over = np.sign(count * (k / len(x)) - 1) * (np.abs(count * (k / len(x)) - 1) > 0.05)
+            step = np.where(over * before < 0, step / 2, step * 1.2)
+            before = over
+            self.offset = (self.offset + over * step).astype(np.float32)
+        self.offset = best[1]
+
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        """The cells of a vector's first centres, in order."""
+        k = len(self.centres)
+        if k <= 1:
+            return np.zeros((len(x), 1), np.int64)
+        out = []
+        for at in range(0, len(x), 2048):
+            s = x[at : at + 2048] @ self.centres.T - self.offset
+            top = np.argpartition(-s, self.probes - 1, axis=1)[:, : self.probes]
+            out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1))
+        return np.concatenate(out) if out else np.zeros((0, self.probes), np.int64)
+
+
+def fit_cells(df: DataFrame, key: str, fields: dict, n: int, cell_rows: int, probes: float | None) -> list[Cells]:
+    """Cells per field from the ids whose hash falls in the sample; rows of one id count once."""
+    want = max(SAMPLE_ROWS, SAMPLE_PER_CENTRE * min(MAX_CENTRES, -(-n // cell_rows)))
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / max(1, n)))
+    got = df.where(share).groupBy(key).agg(*[F.min(f).alias(f) for f in fields]).select(F.xxhash64(key).alias("_h"), key, *fields).orderBy("_h", key).drop("_h").toArrow()
+    return [Cells(unit_rows(got[f], size, neg)[1], n, cell_rows, probes) for f, (size, neg) in fields.items()]
 
 
 def n_probes(probes: float | None, cells: int) -> int:
@@ -77,18 +143,8 @@ def n_probes(probes: float | None, cells: int) -> int:
     return min(probes or cells, cells)
 
 
-def rank_cells(x: np.ndarray, p: np.ndarray, probes: float | None) -> np.ndarray:
-    """The cells of the nearest pivots, nearest first."""
-    if len(p) <= 1:
-        return np.zeros((len(x), 1), np.int64)
-    s = x @ p.T
-    top = n_probes(probes, len(p))
-    cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
-    return np.take_along_axis(cells, np.argsort(-np.take_along_axis(s, cells, 1), axis=1, kind="stable"), 1)
-
-
-def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF, least: float | None = None) -> Iterator[tuple[str, list[str], list[float]]]:
-    """Lists (id, neighbours, similarities) of one cell: its own vectors and those that probe it."""
+def search_shard(pdf: pd.DataFrame, size: int, k: int, ef: int = EF, least: float | None = None, exact: bool = False) -> tuple[np.ndarray, list, list]:
+    """(ids, lists of neighbours, lists of similarities) of one shard: its own vectors and those that probe it."""
     vec = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, size)
     ids = pdf["id"].to_numpy(object)
     own = pdf["own"].to_numpy(bool)
@@ -96,47 +152,59 @@ def search_cell(pdf: pd.DataFrame, size: int, k: int, ef: int = EF, least: float
     order = np.lexsort((ids.astype(str), ~own))
     _, first = np.unique(np.stack([pdf["h1"].to_numpy(), pdf["h2"].to_numpy()], 1)[order], axis=0, return_index=True)
     rows = order[np.sort(first)]
-    index = rows[own[rows]]
+    index, guests = rows[own[rows]], rows[~own[rows]]
     if not index.size:
-        return
-    best_i = np.full((len(rows), 0), -1, np.int64)
-    best_s = np.full((len(rows), 0), -np.inf, np.float32)
-    for at in range(0, len(index), SHARD_ROWS):
-        part = index[at : at + SHARD_ROWS]
-        g = Hnsw(np.ascontiguousarray(vec[part]), k)
-        inside = np.zeros(len(rows), bool)
-        inside[at : at + len(part)] = True
-        si, ss = np.full((len(rows), k), -1, np.int64), np.full((len(rows), k), -np.inf, np.float32)
-        si[inside], ss[inside] = g.own
-        if not inside.all():
-            si[~inside], ss[~inside] = g.search(vec[rows[~inside]], k, ef)
-        si = np.where(si >= 0, part[np.maximum(si, 0)], -1)
-        best_i, best_s = np.concatenate([best_i, si], 1), np.concatenate([best_s, ss], 1)
-        if best_i.shape[1] > k:
-            pick = np.argpartition(-best_s, k - 1, axis=1)[:, :k]
-            best_i, best_s = np.take_along_axis(best_i, pick, 1), np.take_along_axis(best_s, pick, 1)
-    for i, near, s in zip(rows, best_i, best_s):
-        ok = (near >= 0) & (s >= -2 if least is None else s >= least - 1e-4)
-        if ok.any():
-            exact = vec[near[ok]].astype(np.float64) @ vec[i].astype(np.float64)
-            yield ids[i], ids[near[ok]].tolist(), exact.tolist()
-
-
-def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: float | None = SHARE, cell_rows: int = CELL_ROWS, ef: int = WIDE_EF, least: float | None = None) -> DataFrame:
+        return ids[:0], [], []
+    nodes = np.ascontiguousarray(vec[index])
+    rows = np.concatenate([index, guests])
+    if exact:
+        found = [nearest(nodes, vec[rows[at : at + 1024]], np.arange(at, at + 1024), k) for at in range(0, len(rows), 1024)]
+    else:
+        g = Hnsw(nodes)
+        found = [g.search_own(k, max(8, ef // 4))] + ([g.search(vec[guests], k, ef)] if guests.size else [])
+    near, sim = (np.concatenate(x) for x in zip(*found))
+    some = np.flatnonzero(((near >= 0) & (sim >= (-2 if least is None else least - 1e-4))).any(1))
+    out_n, out_s = [], []
+    for at in range(0, len(some), 4096):
+        r = some[at : at + 4096]
+        precise = np.einsum("nkd,nd->nk", nodes[np.maximum(near[r], 0)].astype(np.float64), vec[rows[r]].astype(np.float64))
+        keep = (near[r] >= 0) & (sim[r] >= (-2 if least is None else least - 1e-4))
+        names = ids[index[np.maximum(near[r], 0)]]
+        out_n += [a[m].tolist() for a, m in zip(names, keep)]
+        out_s += [a[m].tolist() for a, m in zip(precise, keep)]
+    return ids[rows[some]], out_n, out_s
+
+
+def nearest(nodes: np.ndarray, q: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node numbers, similarities) of the k most similar nodes by full comparison; a query that is a node, by its
+    number, is not its own neighbour."""
+    s = q @ nodes.T
+    r = np.arange(len(q))
+    own = numbers[: len(q)] < len(nodes)
+    s[r[own], numbers[: len(q)][own]] = -np.inf
+    c = min(k, len(nodes))
+    top = np.argpartition(-s, c - 1, axis=1)[:, :c]
+    sim = np.take_along_axis(s, top, 1)
+    near = np.full((len(q), k), -1, np.int64)
+    out = np.full((len(q), k), -np.inf, np.float32)
+    near[:, :c], out[:, :c] = np.where(np.isfinite(sim), top, -1), sim
+    return near, out
+
+
+def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None, k: int = K, probes: float | None = SHARE, cell_rows: int = CELL_ROWS, ef: int = WIDE_EF, least: float | None = None, exact: bool = False) -> DataFrame:
     """(field_name, id, other, sim, rank): the k most similar other ids of every id, per vector field.
 
     Ids count once (their rows carry the same vector); ids without a usable vector neither query nor answer. Ties
     go to the smaller id. Null ids do not count. Only the probed cells are searched, and there with a beam of ef, so
     some of the k may be missed and others come out instead; fewer than k come out where the probed cells hold fewer
-    or, with ``least``, where fewer are that similar.
+    or, with ``least``, where fewer are that similar. With ``exact`` all cells are compared in full and nothing is
+    missed, at a cost that grows with the square of the rows.
     """
     fields = fields or FIELDS
     names = list(fields)
     df = df.select(key, *fields).where(F.col(key).isNotNull())
     n = df.count()
-    piv = pivots(df, key, fields, n, cell_rows)
-    # a cell's own vectors meet its guests block by block, so a task does not grow with the number of rows
-    n_blocks = {f: max(1, -(-n * (n_probes(probes, len(p)) - 1) // (len(p) * GUEST_ROWS))) if len(p) else 1 for f, p in piv.items()}
+    cells = fit_cells(df, key, fields, n, cell_rows, None if exact else probes)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,41 +219,53 @@ def neighbours(df: DataFrame, key: str = "entry_id", fields: dict | None = None,
                 _, first = np.unique(h[order], axis=0, return_index=True)
                 keep = order[first]
                 rows, x, h = rows[keep], x[keep], h[keep]
-                cells = rank_cells(x, piv[name], probes)
-                m, c = cells.shape
-                size = x.shape[1] * 4
-                own_blocks = n_blocks[name]
-                step = max(1, SPREAD_BYTES // (size * (c + own_blocks - 1)))
-                for i in range(0, m, step):
-                    yield copies(f, ids[rows[i : i + step]], x[i : i + step], h[i : i + step], cells[i : i + step], own_blocks)
-
-    def copies(f: int, ids: np.ndarray, x: np.ndarray, h: np.ndarray, cells: np.ndarray, own_blocks: int) -> pa.RecordBatch:
-        """The vectors once for every cell they go to: own rows to every block of their cell, guests to that of their
-        hash (equal vectors stay together)."""
-        m, c = cells.shape
-        size = x.shape[1] * 4
+                ranked = cells[f].rank(x)
+                step = max(1, SPREAD_BYTES // (x.shape[1] * 4 * ranked.shape[1]))
+                for i in range(0, len(x), step):
+                    yield from copies(f, ids[rows[i : i + step]], x[i : i + step], h[i : i + step], ranked[i : i + step])
+
+    def copies(f: int, ids: np.ndarray, x: np.ndarray, h: np.ndarray, ranked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The vectors once for every shard they go to: to their own shard, there to every block of guests, and to all
+        other shards of the probed cells as guests, to the block of their hash (equal vectors stay together)."""
+        m, size = len(x), x.shape[1] * 4
         vec = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-        again = pa.array(np.concatenate([np.repeat(np.arange(m), own_blocks), np.tile(np.arange(m), c - 1)]))
-        at = np.concatenate([np.repeat(cells[:, 0], own_blocks), cells[:, 1:].T.ravel()])
-        block = np.concatenate([np.tile(np.arange(own_blocks), m), np.tile(h[:, 0] % own_blocks, c - 1)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), f, np.int32)), pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.arange(len(at)) < m * own_blocks), pa.array(ids, pa.string()).take(again), pa.array(h[:, 0]).take(again), pa.array(h[:, 1]).take(again), vec.take(again)],
-            names=["field", "cell", "block", "own", "id", "h1", "h2", "vec"],
+        shards, blocks = cells[f].shards, cells[f].blocks
+        home = ranked[:, 0]
+        mine = np.abs(h[:, 1]) % shards[home]
+        at, cell, shard, block, own = [], [], [], [], []
+
+        def put(rows: np.ndarray, c: np.ndarray, s: np.ndarray, b: np.ndarray, o: bool) -> None:
+            for out, a in zip((at, cell, shard, block, own), (rows, c, s, b, np.full(len(rows), o))):
+                out.append(a)
+
+        for b in range(int(blocks[home].max())):
+            r = np.flatnonzero(blocks[home] > b)
+            put(r, home[r], mine[r], np.full(len(r), b), True)
+        for j in range(ranked.shape[1]):
+            c = ranked[:, j]
+            for s in range(int(shards[c].max())):
+                r = np.flatnonzero((shards[c] > s) & ((j > 0) | (mine != s)))
+                put(r, c[r], np.full(len(r), s), np.abs(h[r, 0]) % blocks[c[r]], False)
+        again = np.concatenate(at)
+        take = pa.array(again)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(again), f, np.int32)), *[pa.array(np.concatenate(a).astype(np.int32)) for a in (cell, shard, block)], pa.array(np.concatenate(own)), pa.array(ids, pa.string()).take(take), pa.array(h[:, 0]).take(take), pa.array(h[:, 1]).take(take), vec.take(take)],
+            names=["field", "cell", "shard", "block", "own", "id", "h1", "h2", "vec"],
         )
 
-    def cell(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(search_cell(pdf, fields[names[int(key_[0])]][0], k, ef, least))
-        lists_ = {name: pd.Series([x[i] for x in found], dtype=object) for i, name in enumerate(("id", "others", "sims"))}
-        return pd.DataFrame({"field": np.full(len(found), int(key_[0]), np.int32), **lists_})
+    def search(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, others, sims = search_shard(pdf, fields[names[int(key_[0])]][0], k, ef, least, exact)
+        return pd.DataFrame({"field": np.full(len(ids), int(key_[0]), np.int32), "id": ids, "others": pd.Series(others, dtype=object), "sims": pd.Series(sims, dtype=object)})
 
     def hashes(f: int, name: str) -> list[Column]:
         return [F.xxhash64(F.col(name)).alias(f"h1_{f}"), F.xxhash64(F.lit(f + 1), F.col(name)).alias(f"h2_{f}")]
 
     hashed = df.select(key, *names, *[h for f, name in enumerate(names) for h in hashes(f, name)])
-    rows = hashed.mapInArrow(spread, "field int, cell int, block int, own boolean, id string, h1 bigint, h2 bigint, vec binary")
-    n_tasks = sum(max(1, len(p)) * n_blocks[f] for f, p in piv.items())
-    rows = rows.repartition(max(1, min(n_tasks, 20_000)), "field", "cell", "block")
-    lists = rows.groupBy("field", "cell", "block").applyInPandas(cell, "field int, id string, others array<string>, sims array<double>")
+    rows = hashed.mapInArrow(spread, "field int, cell int, shard int, block int, own boolean, id string, h1 bigint, h2 bigint, vec binary")
+    where = ["field", "cell", "shard", "block"]
+    n_tasks = sum(int((c.shards * c.blocks).sum()) for c in cells)
+    rows = rows.repartition(max(1, min(2 * n_tasks, 20_000)), *where)
+    lists = rows.groupBy(*where).applyInPandas(search, "field int, id string, others array<string>, sims array<double>")
     best = lists.groupBy("field", "id").agg(F.flatten(F.collect_list(F.arrays_zip("others", "sims"))).alias("x"))
     near = best.select("field", "id", F.explode("x").alias("x")).select("field", "id", F.col("x.others").alias("other"), F.col("x.sims").alias("sim"))
 

@@ -16,16 +16,52 @@ def clusters(n, d, seed=0, size=8, noise=0.05):
 def test_graph_search_recall():
     x = clusters(3000, 32)
     index, q = x[::2], x[1::2][:300]
-    g = Hnsw(np.ascontiguousarray(index), 5)
+    g = Hnsw(np.ascontiguousarray(index))
     got, sim = g.search(q, 3, 32)
     want = np.argsort(-(q @ index.T), axis=1)[:, :3]
     assert np.mean([len(set(a) & set(b)) / 3 for a, b in zip(got, want)]) >= 0.9
     assert np.allclose(sim[:, 0], np.take_along_axis(q @ index.T, got[:, :1], 1)[:, 0], atol=1e-5)
 
 
+def test_own_nodes_are_found_in_the_graph():
+    x = clusters(3000, 32)
+    got, sim = Hnsw(x).search_own(5, 16)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got, want)]) >= 0.99 and (got != np.arange(3000)[:, None]).all()
+    got, sim = Hnsw(x[:3]).search_own(5, 16)
+    assert sorted(got[0].tolist()) == [-1, -1, -1, 1, 2] and (sim[0][got[0] < 0] == -np.inf).all()
+
+
+def test_cells_are_balanced_and_large_ones_split():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 16)) + np.where(np.arange(6000)[:, None] % 3 == 0, 6.0, 0.0)  # a third in one direction
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = N.Cells(x, 6000, 300, 2)
+    assert len(c.centres) == 20 and np.bincount(c.rank(x)[:, 0], minlength=20).max() <= 2 * 300
+    assert (N.Cells(x[:50], 10 * N.SHARD_ROWS, 10**9, 2).shards == 10).all()
+
+
+def test_split_shards_and_full_comparison(spark, monkeypatch):
+    """Cells of several shards, searched by graph and in full: the latter misses nothing."""
+    x = clusters(900, 4, noise=0.3)
+    df = spark.createDataFrame([(f"{i:05d}", [float(a) for a in r]) for i, r in enumerate(x)], "entry_id string, v array<double>")
+    monkeypatch.setattr(N, "SHARD_ROWS", 100)
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    for exact in (False, True):
+        got = {}
+        for r in N.neighbours(df, fields=V, cell_rows=300, exact=exact, probes=None).collect():
+            got.setdefault(int(r.id), set()).add(int(r.other))
+        recall = np.mean([len(got[i] & set(want[i])) / 5 for i in range(len(x))])
+        assert recall == 1.0 if exact else recall >= 0.95
+
+
 def test_graph_of_few_and_of_equal_vectors():
     for x in (np.eye(4, dtype=np.float32)[:1], np.repeat(np.eye(4, dtype=np.float32)[:1], 300, 0)):
-        g = Hnsw(x, 5)
+        g = Hnsw(x)
         got, _ = g.search(x[:2], 5, 16)
         assert (got[:, 0] >= 0).all()
 
