@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,14 @@ _HEX[list(b"0123456789abcdefABCDEF")] = True
 _ESCAPABLE = np.zeros(256, bool)
 _ESCAPABLE[list(b'"\\/bfnrtu')] = True
 _SCALAR = re.compile(rb"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
-_AROUND = " \t\n\r\f\v﻿ \u0085  "
+AROUND = " \t\n\r\f\v﻿ \u0085  "
 
 
 @dataclass
 class Index:
     """Tokens of all texts in order of place. container: token number of the enclosing bracket, -1 at the root.
-    position: number of commas before the token within its container. end: last byte of the value, inclusive."""
+    position: number of commas before the token within its container. depth: brackets around the token. end: last byte
+    of the value, inclusive."""
 
     data: bytes
     valid: np.ndarray
@@ -41,18 +43,40 @@ class Index:
     end: np.ndarray
     container: np.ndarray
     position: np.ndarray
+    depth: np.ndarray
     is_key: np.ndarray
 
     def text(self, token: int) -> str:
         return self.data[self.start[token] : self.end[token] + 1].decode("utf-8", "surrogatepass")
 
-    def key(self, token: int) -> str | None:
-        """Name of the field that holds this value, None for elements of arrays and the root."""
-        c = self.container[token]
-        if c < 0 or self.kind[c] != OPEN_OBJ:
-            return None
-        raw = self.data[self.start[token - 2] : self.end[token - 2] + 1]
-        return json.loads(raw.decode("utf-8", "surrogatepass")) if b"\\" in raw else raw[1:-1].decode("utf-8", "surrogatepass")
+    def value(self, token: int) -> str | None:
+        """The value as text: what a string says, None for null, brackets as they stand."""
+        raw = self.data[self.start[token] : self.end[token] + 1]
+        if self.kind[token] != STRING:
+            return None if raw == b"null" else raw.decode("utf-8", "surrogatepass")
+        said = json.loads(raw.decode("utf-8", "surrogatepass")) if b"\\" in raw else raw[1:-1].decode("utf-8", "surrogatepass")
+        return said.encode("utf-8", "replace").decode() if any("\ud800" <= c <= "\udfff" for c in said) else said
+
+    def key_codes(self, names: Sequence[str]) -> np.ndarray:
+        """For every value in an object the number of its field's name among ``names``, -1 for others."""
+        out = np.full(self.kind.size, -1, np.int64)
+        keys = np.flatnonzero(self.is_key)
+        keys = keys[keys + 2 < self.kind.size]
+        if not keys.size:
+            return out
+        b = np.frombuffer(self.data, np.uint8)
+        length = self.end[keys] - self.start[keys] - 1
+        for code, name in enumerate(names):
+            want = np.frombuffer(name.encode(), np.uint8)
+            k = keys[length == want.size]
+            same = (b[self.start[k][:, None] + 1 + np.arange(want.size)] == want).all(1)
+            out[k[same] + 2] = code
+        # names with escapes are longer than what they say
+        slash = np.concatenate([[0], np.cumsum(b == 92)])
+        for k in keys[slash[self.end[keys]] > slash[self.start[keys]]].tolist():
+            said = json.loads(self.text(k))
+            out[k + 2] = names.index(said) if said in names else -1
+        return out
 
 
 def _forward(a: np.ndarray) -> np.ndarray:
@@ -62,7 +86,7 @@ def _forward(a: np.ndarray) -> np.ndarray:
 def build(texts: list[str]) -> Index:
     """Index of the texts; texts that are not one valid JSON value (RFC 8259) are marked invalid.
     White space and byte-order marks around a text are ignored. Empty texts are invalid."""
-    raw = [t.strip(_AROUND).encode("utf-8", "surrogatepass") for t in texts]
+    raw = [t.strip(AROUND).encode("utf-8", "surrogatepass") for t in texts]
     n_docs = len(raw)
     data = b"\n".join(raw) + b"\n"
     b = np.frombuffer(data, np.uint8)
@@ -71,7 +95,7 @@ def build(texts: list[str]) -> Index:
     valid = sizes > 1
     if n_docs == 0:
         z = np.zeros(0, np.int64)
-        return Index(b"", valid, z, z, z, z, z, z, z.astype(bool))
+        return Index(b"", valid, z, z, z, z, z, z, z, z.astype(bool))
     idx = np.arange(b.size, dtype=np.int64)
 
     # bitmaps: escapes, quotes, string interiors
@@ -126,13 +150,10 @@ def build(texts: list[str]) -> Index:
     stops = np.flatnonzero(loose[:-1] & ~loose[1:])
     scalars = np.flatnonzero(kind == SCALAR)
     end[scalars] = stops[np.searchsorted(stops, start[scalars])]
-    known: dict[bytes, bool] = {}
-    for i in scalars:
-        w = data[start[i] : end[i] + 1]
-        if (ok := known.get(w)) is None:
-            ok = known[w] = _SCALAR.fullmatch(w) is not None
-        if not ok:
-            valid[doc[i]] = False
+    said = [data[i:j] for i, j in zip(start[scalars].tolist(), (end[scalars] + 1).tolist())]
+    wrong_words = {w for w in set(said) if _SCALAR.fullmatch(w) is None}
+    if wrong_words:
+        valid[doc[scalars[[w in wrong_words for w in said]]]] = False
 
     # depth by prefix sums, relative to the text; broken texts leave here
     def keep_valid(*arrays: np.ndarray) -> list[np.ndarray]:
@@ -157,12 +178,12 @@ def build(texts: list[str]) -> Index:
     start, end, kind, doc, level, up, down = keep_valid(start, end, kind, doc, level, up, down)
     n = kind.size
 
-    # containers: sort by (text, level, place), every opening bracket leads its level
-    opens = np.flatnonzero(up)
-    tok = np.concatenate([opens, np.arange(n)])
-    lev = np.concatenate([level[opens] + 1, level])
-    lead = np.concatenate([np.ones(opens.size, bool), np.zeros(n, bool)])
-    order = np.lexsort((~lead, tok, lev, doc[tok] if n else tok))
+    # containers: order by level, within it by place; every opening bracket leads the level it opens
+    tok = np.repeat(np.arange(n), 1 + up)
+    lead = np.zeros(tok.size, bool)
+    lead[1:] = tok[1:] == tok[:-1]
+    lev = level[tok] + lead
+    order = np.argsort(lev.astype(np.uint16) if n and lev.max() < 65536 else lev, kind="stable")
     tok, lev, lead = tok[order], lev[order], lead[order]
     head = _forward(np.where(lead, np.arange(tok.size), 0))
     comma = np.cumsum((kind[tok] == COMMA) & ~lead) if n else np.zeros(0, np.int64)
@@ -193,4 +214,4 @@ def build(texts: list[str]) -> Index:
     good |= (kind == CLOSE_OBJ) & in_obj & ((prev == OPEN_OBJ) | value_end)
     good |= (kind == CLOSE_ARR) & in_arr & ((prev == OPEN_ARR) | value_end)
     valid[doc[~good | wrong]] = False
-    return Index(data, valid, doc, kind, start, end, container, position, is_key)
+    return Index(data, valid, doc, kind, start, end, container, position, level, is_key)

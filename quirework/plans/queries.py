@@ -6,7 +6,7 @@ of ``embeddings`` as 8x8 patches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +29,39 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-register("p3_found", lambda s, d: nested.found(t(s, d, "raw_results")))
+_NESTED = """p0 as (select distinct record_id, row_number() over (partition by record_id order by received_at desc nulls last, md5(payload) desc) rn, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) p from raw_results where payload is not null),
+    p1 as (select record_id, rn, case when json_valid(p) then p::json end v from p0),
+    walk as (
+      select record_id, rn, cast('' as varchar) f, cast('' as varchar) pf, cast('' as varchar) parent, cast('' as varchar) path, false element, false node, v from p1 where v is not null
+      union all
+      select record_id, rn, f, pf, parent, path, element, node, v from (
+        -- the members of an object; an object in a wanted field is a node
+        select record_id, rn, case when k in ({fields}) then k else '' end f, case when node then f else pf end pf, path parent, path, false element, false node, json_extract(v, '$."' || replace(k, '"', '\\"') || '"') v
+        from (select *, unnest(json_keys(v)) k from walk where json_type(v) = 'OBJECT' and (node or f = ''))
+        union all
+        select record_id, rn, f, pf, parent, case when element then path when path = '' then '0' else path || '/0' end, true, true, v from walk where json_type(v) = 'OBJECT' and f <> '' and not node
+        union all
+        select record_id, rn, f, pf, parent, case when f = '' then path when path = '' then i::varchar else path || '/' || i end, true, false, json_extract(v, '$[' || i || ']')
+        from (select *, unnest(range(0, json_array_length(v)::bigint)) i from walk where json_type(v) = 'ARRAY')
+        union all
+        select record_id, rn, f, pf, parent, path, element, false, case when json_valid(v ->> '$') then (v ->> '$')::json end from walk where json_type(v) = 'VARCHAR' and f <> '')
+      where v is not null),
+    nodes as (select record_id, rn, f, pf, parent, path, v from walk where node)"""
+
+
+def _nested(fields: Sequence[str], select: str) -> str:
+    """SQL over the table nodes: every object in one of the fields, with its links and its JSON value."""
+    return f"with recursive {_NESTED.replace('{fields}', ', '.join(repr(x) for x in fields))} {select}"
+
+
+register("p3_found", lambda s, d: nested.found(t(s, d, "raw_results")), _nested(nested.REGION_FIELDS, "select distinct record_id, f as field_name, parent as parent_path, path as node_path from nodes"))
+_LEVEL = """, one as (select *, row_number() over (partition by record_id, f, pf, path order by rn) n from nodes)
+    select record_id, pf as parent_field, parent as parent_path, path as node_path, v ->> '$.region_id' region_id, lower(trim(coalesce(v ->> '$.type', v ->> '$.region_type'))) "type",
+    coalesce(v ->> '$.text', v ->> '$.char', v ->> '$.raw_text') "text", v ->> '$.corrected_text' corrected_text, try_cast(v ->> '$.is_corrected' as boolean) is_corrected,
+    try_cast(coalesce(v ->> '$.confidence', v ->> '$.region_confidence') as double) confidence, try_cast(v ->> '$.page_number' as int) page_number,
+    regexp_replace(v ->> '$.bbox', '\\s', '', 'g') bbox_text, v ->> '$.image_path' image_path from one where n = 1 and f = """
 for _field in nested.REGION_FIELDS:
-    register(f"p3_{_field}", lambda s, d, f=_field: nested.flat_table(t(s, d, "raw_results"), f))
+    register(f"p3_{_field}", lambda s, d, f=_field: nested.flat_table(t(s, d, "raw_results"), f), _nested(nested.REGION_FIELDS, "select 1")[: -len(" select 1")] + f"{_LEVEL}'{_field}'")
 
 # ---- pages: scores of text rasters
 
@@ -241,13 +271,19 @@ register(
 
 def _gate(s: SparkSession, d: str) -> DataFrame:
     """Children of nested regions keep their path only if the parent has a box."""
-    rows = nested.flatten(t(s, d, "raw_results"), "record_id", "payload", ("regions", "children"), with_values=True)
-    rows = rows.select("record_id", "field_name", "parent_path", "node_path", F.col("fields_text")["bbox"].isNotNull().alias("own")).groupBy("record_id", "field_name", "parent_path", "node_path").agg(F.max("own").alias("own"))
+    rows = nested.flatten(t(s, d, "raw_results"), "record_id", "payload", ("regions", "children"), ("bbox",))
+    rows = rows.select("record_id", "field_name", "parent_path", "node_path", F.col("v_bbox").isNotNull().alias("own")).groupBy("record_id", "field_name", "parent_path", "node_path").agg(F.max("own").alias("own"))
     up = rows.select("record_id", F.col("node_path").alias("parent_path"), F.col("own").alias("up")).groupBy("record_id", "parent_path").agg(F.max("up").alias("up"))
     return rows.join(up, ["record_id", "parent_path"], "left").select("record_id", "field_name", "node_path", (F.col("own") & ((F.col("parent_path") == "") | F.coalesce("up", F.lit(False)))).alias("has_image"))
 
 
-register("parent_path_gate", _gate)
+register(
+    "parent_path_gate", _gate,
+    _nested(("regions", "children"), "select 1")[: -len(" select 1")]
+    + """, own as (select record_id, f, parent, path, bool_or(coalesce(json_type(v, '$.bbox'), 'NULL') <> 'NULL') o from nodes group by all),
+    up as (select record_id, path parent, bool_or(o) u from own group by all)
+    select record_id, f as field_name, path as node_path, o and (parent = '' or coalesce(u, false)) has_image from own left join up using (record_id, parent)""",
+)
 
 # ---- OCR results
 

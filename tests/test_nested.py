@@ -47,7 +47,11 @@ def brute(text):
 
 
 def rows(*texts):
-    return [sorted(r[1:4] for r in nested.flatten_texts(texts, range(len(texts)), F) if r[0] == i) for i in range(len(texts))]
+    out = [[] for _ in texts]
+    r = nested.walk(texts, range(len(texts)), F)
+    for key, field, parent, path in zip(r.keys, r.fields, r.parents, r.paths):
+        out[key].append((F[field], parent, path))
+    return [sorted(x) for x in out]
 
 
 leaf = st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6) | st.sampled_from(['{"chars": [null, {}]}', '[{"words": {}}]', '"[{}]"', "{", "[1"])
@@ -100,4 +104,16 @@ def test_empty_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([Row(record_id=1, payload=None, field_name="x", node_path="y"), Row(record_id=None, payload='{"words": {}}', field_name="x", node_path="y")], "record_id bigint, payload string, field_name string, node_path string")
     assert [tuple(r) for r in nested.found(df.unionAll(df)).collect()] == [(None, "words", "", "0")]
     assert nested.found(df.limit(0)).collect() == []
-    assert nested.flat_table(df, "words").count() == 1
+
+
+def test_values_and_parents(spark):
+    text = '{"regions": [{"region_id": "a", "text": null, "wor\\u0064s": [{"text": "x\\n\\"y", "confidence": "0.5", "bbox": [1, 2]}], "children": {"chars": [{"char": "\\ud83d\\ude00"}], "type": " Cell ", "is_corrected": true}}]}'
+    rows = [(1, text, 2), (1, text.replace("Cell", "Table"), 1), (2, "{", 1), (3, None, None)]
+    df = spark.createDataFrame(rows, "record_id bigint, payload string, received_at int")
+    got = {(r.field_name, r.parent_field, r.parent_path, r.node_path): r for r in nested.flat_tables(df).collect()}
+    assert set(got) == {("regions", "", "", "0"), ("words", "regions", "0", "0/0"), ("children", "regions", "0", "0/0"), ("chars", "children", "0/0", "0/0/0")}
+    r, w, c, h = (next(v for k, v in got.items() if k[0] == f) for f in ("regions", "words", "children", "chars"))
+    assert (r.region_id, r.text) == ("a", None) and (w.text, w.confidence, w.bbox_text) == ('x\n"y', 0.5, "[1, 2]")
+    assert (c.type, c.is_corrected) == ("cell", True) and h.text == "\U0001f600"
+    assert [r.parent_field for r in nested.flat_table(df, "chars").collect()] == ["children"]
+    assert nested.flat_table(df.limit(0), "words").collect() == []
