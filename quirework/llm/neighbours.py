@@ -31,7 +31,7 @@ SHARD_ROWS = 6144
 #: The centres are fitted on a sample of about so many ids for each, at least SAMPLE_ROWS in all.
 MAX_CENTRES = 8192
 SAMPLE_PER_CENTRE = 8
-SAMPLE_ROWS = 16384
+SAMPLE_ROWS = 4096
 #: Probes and beam for what is alike, and for the nearest of every vector (a share of the cells).
 PROBES = 2
 EF = 32
@@ -132,7 +132,7 @@ def fit_cells(df: DataFrame, key: str, fields: dict, n: int, cell_rows: int, pro
     """Cells per field from the ids whose hash falls in the sample; rows of one id count once."""
     want = max(SAMPLE_ROWS, SAMPLE_PER_CENTRE * min(MAX_CENTRES, -(-n // cell_rows)))
     share = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / max(1, n)))
-    got = df.where(share).groupBy(key).agg(*[F.min(f).alias(f) for f in fields]).select(F.xxhash64(key).alias("_h"), key, *fields).orderBy("_h", key).drop("_h").toArrow()
+    got = df.where(share).groupBy(key).agg(*[F.min(f).cast("array<float>").alias(f) for f in fields]).select(F.xxhash64(key).alias("_h"), key, *fields).orderBy("_h", key).drop("_h").toArrow()
     return [Cells(unit_rows(got[f], size, neg)[1], n, cell_rows, probes) for f, (size, neg) in fields.items()]
 
 
