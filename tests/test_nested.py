@@ -113,7 +113,7 @@ def test_values_and_parents(spark):
     got = {(r.field_name, r.parent_field, r.parent_path, r.node_path): r for r in nested.flat_tables(df).collect()}
     assert set(got) == {("regions", "", "", "0"), ("words", "regions", "0", "0/0"), ("children", "regions", "0", "0/0"), ("chars", "children", "0/0", "0/0/0")}
     r, w, c, h = (next(v for k, v in got.items() if k[0] == f) for f in ("regions", "words", "children", "chars"))
-    assert (r.region_id, r.text) == ("a", None) and (w.text, w.confidence, w.bbox_text) == ('x\n"y', 0.5, "[1, 2]")
+    assert (r.region_id, r.text) == ("a", None) and (w.text, w.confidence, w.bbox_text) == ('x\n"y', 0.5, "[1,2]")
     assert (c.type, c.is_corrected) == ("cell", True) and h.text == "\U0001f600"
     assert [r.parent_field for r in nested.flat_table(df, "chars").collect()] == ["children"]
     assert nested.flat_table(df.limit(0), "words").collect() == []
