@@ -80,28 +80,58 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, part, bin) of every part: an item that no empty bin can take whole is split into full bins and a rest,
+    which is packed like an item. Parts are in the order of items."""
+    sizes = np.asarray(sizes, np.int64)
+    full = np.where(sizes > capacity, sizes // capacity, 0)
+    rest = sizes - full * capacity
+    packed = np.flatnonzero((rest > 0) | (full == 0))
+    bins = best_two_fit(rest[packed], capacity)
+    of_full = np.repeat(np.arange(sizes.size), full)
+    part = np.arange(of_full.size) - np.repeat(np.cumsum(full) - full, full)
+    item = np.concatenate([of_full, packed])
+    part = np.concatenate([part, full[packed]])
+    bins = np.concatenate([np.arange(of_full.size) + (bins.max(initial=-1) + 1), bins])
+    order = np.lexsort((part, item))
+    return item[order], part[order], bins[order]
+
+
 def pack(docs: DataFrame, capacity: int = 4096, block_items: int = 16384) -> DataFrame:
     """Containers for documents: (doc_id, part, n_parts, tokens, container_id).
 
-    A document larger than the capacity is split into full parts and a rest, any other stays whole (n_parts 1).
-    Full parts are containers of their own. Null or empty texts have 0 tokens and ride in the block's first
-    container. Rows without doc_id are packed like others; doc_id should identify a row, repeated rows are packed
-    as items of their own. Columns besides doc_id and text are ignored. An empty table gives no rows.
+    A document that an empty container cannot hold is split into full parts, which are containers of their own, and a
+    rest; any other stays whole (n_parts 1). Null or empty texts have 0 tokens and ride in the block's first container.
+    Rows without doc_id are packed like others and spread like others; doc_id should identify a row, repeated rows are
+    packed as items of their own. Columns besides doc_id and text are ignored. An empty table gives no rows.
     """
-    sized = docs.select("doc_id", F.coalesce(n_tokens(F.col("text")), F.lit(0)).alias("_n"))
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / capacity)).cast("int")
-    items = sized.select("doc_id", "_n", n_parts.alias("n_parts")).select("doc_id", "n_parts", "_n", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
-    items = items.select("doc_id", "part", "n_parts", F.least(F.lit(capacity), F.col("_n") - F.col("part").cast("bigint") * capacity).cast("int").alias("tokens"))
     # the number of rows decides the number of blocks; a count of rows reads no column
     blocks = max(1, -(-docs.count() // block_items))
+    key = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.col("doc_id").isNull())
+    sized = docs.select("doc_id", F.coalesce(n_tokens(F.col("text")), F.lit(0)).alias("_n"), F.pmod(key, F.lit(blocks)).alias("_block"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "part"], kind="stable")
-        pdf["container_id"] = [f"{key[0]}-{b}" for b in best_two_fit(pdf["tokens"].to_numpy(), capacity)]
-        return pdf[["doc_id", "part", "n_parts", "tokens", "container_id"]]
-
-    keyed = items.withColumn("_block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(blocks)))
-    return keyed.groupBy("_block").applyInPandas(run, "doc_id bigint, part int, n_parts int, tokens int, container_id string")
+        pdf = pdf.sort_values(["doc_id", "_n"], kind="stable").reset_index(drop=True)
+        sizes = pdf["_n"].to_numpy(np.int64)
+        item, part, bins = place(sizes, capacity)
+        n_parts = np.bincount(item, minlength=sizes.size)[item]
+        names = np.char.add(f"{key[0]}-", np.arange(bins.max(initial=0) + 1).astype(str)).astype(object)
+        tokens = np.minimum(capacity, sizes[item] - part * capacity)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy()[item], "part": part.astype(np.int32), "n_parts": n_parts.astype(np.int32), "tokens": tokens.astype(np.int32), "container_id": names[bins]})
+
+    # as many tasks as blocks: the rows are few bytes, so joined by size they would all be one task's
+    return sized.repartition(blocks, "_block").groupBy("_block").applyInPandas(run, "doc_id bigint, part int, n_parts int, tokens int, container_id string")
+
+
+def check(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row of what must hold of every packing: documents, those split, parts, tokens, containers over the capacity
+    (none) and documents split although they fit (none)."""
+    per = packed.groupBy("container_id").agg(
+        F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum((F.col("part") == 0).cast("int")).alias("d"), F.sum(((F.col("part") == 0) & (F.col("n_parts") > 1)).cast("int")).alias("s"),
+        F.sum(((F.col("part") == 0) & (F.col("n_parts") > 1) & (F.col("tokens") < capacity)).cast("int")).alias("w"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per.agg(total("d").alias("n_documents"), total("s").alias("n_split"), total("n").alias("n_parts"), total("t").alias("tokens"), total((F.col("t") > capacity).cast("int")).alias("n_overfull"), total("w").alias("n_split_needlessly"))
 
 
 def fill_report(packed: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -114,5 +144,5 @@ def fill_report(packed: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def found(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Documents that could not be placed whole."""
-    return pack(docs, capacity).where("n_parts > 1").select("doc_id").distinct()
+    """Documents that the packing could not place whole."""
+    return pack(docs, capacity).where("part = 0 and n_parts > 1").select("doc_id").distinct()

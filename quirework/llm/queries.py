@@ -21,11 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_daily_estimates": lambda s, d: quantiles.daily_estimates(t(s, d, "region_ocr")),
     "p7_found": lambda s, d: packing.found(t(s, d, "documents")),
     "p7_containers": lambda s, d: packing.pack(t(s, d, "documents")),
+    "p7_check": lambda s, d: packing.check(packing.pack(t(s, d, "documents"))),
     "p7_fill": lambda s, d: packing.fill_report(packing.pack(t(s, d, "documents"))),
     "p8_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
-    "p8_schedule": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[0],
-    "p8_records": lambda s, d: mixing.records(t(s, d, "documents"), t(s, d, "mix_targets")),
-    "p8_report": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[1],
+    "p8_schedule": lambda s, d: mixing.Plan(t(s, d, "documents"), t(s, d, "mix_targets")).filled(),
+    "p8_records": lambda s, d: mixing.Plan(t(s, d, "documents"), t(s, d, "mix_targets")).records(),
+    "p8_report": lambda s, d: mixing.Plan(t(s, d, "documents"), t(s, d, "mix_targets")).report(),
     "p9_found": lambda s, d: reading.found(t(s, d, "documents"), t(s, d, "level_labels")),
     "p9_levels": lambda s, d: reading.levels(t(s, d, "documents"), t(s, d, "level_labels")),
     "p9_profile": lambda s, d: reading.profile(t(s, d, "documents"), t(s, d, "level_labels")),
@@ -34,7 +35,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _TOKENS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^ \\t\\n\\r\\f\\v]'))"
 _HASH = "regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '^0x', '')"
 
+_MIX = f"""m as (select lower(trim(source)) source, max(target_weight) w, max(max_repeats) r from mix_targets where source is not null group by 1),
+        d as (select doc_id, lower(trim(source)) source, {_TOKENS} tokens, md5(coalesce(cast(doc_id as varchar), text)) h from documents where source is not null and text is not null and lower(trim(source)) in (select source from m)),
+        z as (select m.source, w, r, cast(coalesce(sum(tokens), 0) as bigint) size from m left join d on d.source = m.source group by all),
+        k as (select cast(sum(size) as bigint) total, greatest(1, (cast(sum(size) as bigint) + {mixing.RESOLUTION} * count(*) - 1) // ({mixing.RESOLUTION} * count(*))) b from z),
+        e as (select source, cast(sum(round(coalesce(w, 0) * {mixing.PARTS})) over (order by source) as double) hi, cast(sum(round(coalesce(w, 0) * {mixing.PARTS})) over () as double) whole, round(coalesce(w, 0) * {mixing.PARTS}) own from z),
+        p0 as (select i slot, (i + 0.5::double) * {mixing.GOLDEN}::double x from (select unnest(range(0, (total + b - 1) // b)) i from k)),
+        p as (select slot, (x - floor(x)) x from p0),
+        slots as (select slot, source, row_number() over (partition by source order by slot) - 1 visit from (select slot, (select min_by(source, hi) from e where own > 0 and hi > p.x * e.whole) source from p)),
+        n as (select source, count(*) planned from slots group by 1),
+        st as (select d.*, size, r, coalesce(planned, 0) planned, b, cast(coalesce(sum(tokens) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) before
+          from d join z using (source) left join n on n.source = d.source, k),
+        pl0 as (select doc_id, source, tokens, h, before, size, b, unnest(range(0, greatest(0, least(r, cast(ceil((planned * b - before)::double / greatest(size, 1)) as bigint))))) k from st),
+        placed as (select doc_id, source, tokens, h, k * size + before start, cast(k as int) as "repeat", (k * size + before) // b visit from pl0)"""
+
 SQL: dict[str, str] = {
+    "p7_check": f"select count(*) n_documents, count(*) filter (n > 4096) n_split, cast(sum(greatest(1, (n + 4095) // 4096)) as bigint) n_parts, cast(sum(n) as bigint) tokens, cast(0 as bigint) n_overfull, cast(0 as bigint) n_split_needlessly from (select coalesce({_TOKENS}, 0) n from documents)",
+    "p8_schedule": f"with {_MIX} select slot, s.source, s.visit, count(placed.tokens) n_docs, cast(coalesce(sum(placed.tokens), 0) as bigint) tokens from slots s left join placed on placed.source = s.source and placed.visit = s.visit group by all",
+    "p8_records": f"""with {_MIX} select slot, cast(row_number() over (partition by placed.source, placed.visit order by start, h, doc_id, tokens) - 1 as int) position, doc_id, placed.source, placed.visit, "repeat", tokens from placed join slots using (source, visit)""",
+    "p8_report": f"""with {_MIX}, t as (select source, sum(tokens) n from placed group by 1)
+        select z.source, w target_weight, r max_repeats, size, coalesce(planned, 0) planned_slots, cast(coalesce(t.n, 0) as bigint) placed_tokens, coalesce(t.n, 0)::double / nullif(sum(t.n) over (), 0)::double actual_share, coalesce(w * total > r * size, false) short
+        from z left join n on n.source = z.source left join t on t.source = z.source, k""",
     "p4_found": f"""
         with raw as (select entry_id, phash, dhash, false n from knowledge union all select e.entry_id, e.phash, e.dhash, true from (select unnest(entries) e from knowledge_packs)),
         k as (select entry_id, {_HASH.format('phash')} p, {_HASH.format('dhash')} d, n from raw),

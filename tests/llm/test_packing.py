@@ -39,4 +39,18 @@ def test_documents(spark):
         load[r.container_id] = load.get(r.container_id, 0) + r.tokens
     assert max(load.values()) <= 10
     assert [r.doc_id for r in P.found(df, 10).collect()] == [2]
+    assert tuple(P.check(P.pack(df, 10), 10).first()) == (8, 1, 10, 45, 0, 0) and tuple(P.check(P.pack(df.limit(0), 10), 10).first()) == (0, 0, 0, 0, 0, 0)
     assert P.pack(df.limit(0), 10).collect() == [] and P.found(df.limit(0)).collect() == []
+
+
+def test_rows_without_id_are_spread(spark):
+    df = spark.createDataFrame([(None, "x " * (i % 9)) for i in range(3000)], "doc_id bigint, text string")
+    got = P.pack(df, 10, block_items=300).collect()
+    assert len(got) == 3000 and len({r.container_id.split("-")[0] for r in got}) == 10
+
+
+def test_parts():
+    item, part, bins = P.place(np.array([25, 10, 0, 20, 3]), 10)
+    assert list(zip(item.tolist(), part.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (3, 0), (3, 1), (4, 0)]
+    load = np.bincount(bins, weights=[10, 10, 5, 10, 0, 10, 10, 3])
+    assert load.max() <= 10 and (load > 0).all()
