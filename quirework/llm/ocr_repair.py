@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ LONGEST = max(map(len, ALIKE))
 
 def fold(text: str) -> str:
     """Lower case without accents and ligatures."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -88,6 +92,8 @@ class DeleteIndex:
             for v in self._deletes(w):
                 self.variants[v].append(w)
         self.known: dict[str, list[tuple[str, float, int]]] = {}
+        # what the limit allows takes away or adds this many characters at most
+        self.longest = max(map(len, words), default=0) + int(LIMIT / ALIKE_COST) * (LONGEST - 1) + 1
 
     @staticmethod
     def _deletes(w: str) -> set[str]:
@@ -101,7 +107,9 @@ class DeleteIndex:
         """(word, cost, frequency) within NEAR of the cheapest, cheapest first, ties by frequency, then word."""
         if (got := self.known.get(read)) is not None:
             return got
-        forms = {read, fold(read)}
+        if len(read) > 2 * self.longest:  # even if all of it were ligatures of accents
+            return []
+        forms = {f for f in (read, fold(read)) if len(f) <= self.longest}
         seen = {w for f in forms for v in self._deletes(f) for w in self.variants.get(v, ())}
         # groups that stand for others may put more than two deletes between the forms
         for f in list(forms):
@@ -110,7 +118,7 @@ class DeleteIndex:
                     for to in ALIKE.get(f[i : i + a], ()):
                         seen.update(w for v in self._deletes(f[:i] + to + f[i + a :]) for w in self.variants.get(v, ()))
         out = []
-        for w in seen:
+        for w in seen if forms else ():
             # short words bear only look-alikes
             limit = LIMIT if len(w) >= 5 else 2 * ALIKE_COST + 0.01 if len(w) >= 3 else ALIKE_COST + 0.01
             cost = min(weighted_distance(f, w, limit) + (0.0 if f == read else ALIKE_COST * 0.5) for f in forms)
@@ -143,8 +151,11 @@ def page_value(line: str) -> int | None:
     return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
 
 
+_NO_LETTERS = bytes(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyz"))
+
+
 def letters(line: str) -> str:
-    return re.sub(r"[^a-z]+", "", fold(" ".join(w for w in line.split() if not re.fullmatch(r"\W*\d+\W*", w))))
+    return fold(line).encode("utf-8", "replace").translate(None, _NO_LETTERS).decode()
 
 
 def edit_within(a: str, b: str, limit: int) -> bool:
@@ -160,10 +171,9 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return row[-1] <= limit
 
 
-def is_header(line: str, header: str | None, frame: tuple[list[str], list[str]]) -> bool:
-    """Whether the line is the volume's running header, misprints allowed. Of a volume without header regions, a line
-    in title case that begins and ends as the headers of other volumes do."""
-    own = letters(line)
+def is_header(line: str, own: str, header: str | None, frame: tuple[list[str], list[str]]) -> bool:
+    """Whether the line, with its ``letters``, is the volume's running header, misprints allowed. Of a volume without
+    header regions, a line in title case that begins and ends as the headers of other volumes do."""
     if len(own) < 8:
         return False
     if header:
@@ -182,58 +192,87 @@ def core(piece: str) -> str:
     return _EDGE.sub("", piece).lower()
 
 
-def defects(text: str, page: int | None, header: str | None, offset: int | None, frame, index: DeleteIndex) -> list[tuple]:
+class Cores(dict):
+    """Pieces of text -> (their core, whether it may be misread); a piece that comes again costs a look-up."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, piece: str) -> tuple[str, bool]:
+        w = core(piece)
+        got = w, bool(w) and w not in self.words and w.rstrip("!") not in self.words and not _CODE.match(w)
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[piece] = got
+        return got
+
+
+#: Per worker: indexes by the lexicon they were built for, so that tasks share them.
+_HELD: dict[str, tuple[DeleteIndex, Cores]] = {}
+
+
+def held(lexicon: Broadcast) -> tuple[DeleteIndex, Cores]:
+    name, words = lexicon.value
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = DeleteIndex(words), Cores(words)
+    return _HELD[name]
+
+
+def defects(text: str, page: int | None, header: str | None, offset: int | None, frame, index: DeleteIndex, cores: Cores) -> list[tuple]:
     """(token_idx, defect, candidates, previous word, next word, pieces) of one region's text."""
     words = index.words
-    lines, at = [], 0
+    out: list[tuple] = []
+    body: list[str] = []
+    number: list[int] = []  # of the piece in the text
+    ends: set[int] = set()  # places in body that end a line
+    at = 0
     for line in text.split("\n"):
         pieces = line.split()
         if pieces:
-            value = page_value(line)
-            kind = ""
+            own = letters(line)
+            # a page number has a word of up to five letters and up to twelve Roman digits
+            value = page_value(line) if len(own) <= 17 else None
             if value is not None and (offset is None or page is None or value == page + offset):
-                kind = "page_number"
-            elif is_header(line, header, frame):
-                kind = "header"
-            lines.append((at, pieces, kind))
+                out.append((at, "page_number", [("", 0.0, 0)], "", "", len(pieces)))
+            elif is_header(line, own, header, frame):
+                out.append((at, "header", [("", 0.0, 0)], "", "", len(pieces)))
+            else:
+                body += pieces
+                number += range(at, at + len(pieces))
+                ends.add(len(body) - 1)
         at += len(pieces)
-    out: list[tuple] = []
-    body: list[tuple[int, str, bool]] = []  # piece, whether it ends a line
-    for start, pieces, kind in lines:
-        if kind:
-            out.append((start, kind, [("", 0.0, 0)], "", "", len(pieces)))
-        else:
-            body += [(start + i, p, i == len(pieces) - 1) for i, p in enumerate(pieces)]
-    i = 0
-    while i < len(body):
-        idx, piece, ends = body[i]
-        before = core(body[i - 1][1]) if i else ""
-        if ends and i + 1 < len(body) and len(piece) > 1 and piece[-1] in HYPHENS and any(c.isalpha() for c in piece[:-1]):
-            left, right = _EDGE.sub("", piece[:-1]).lower(), core(body[i + 1][1])
-            after = core(body[i + 2][1]) if i + 2 < len(body) else ""
+    n = len(body)
+    suspects = [i for i, p in enumerate(body) if cores[p][1] or (i in ends and p[-1] in HYPHENS)]
+    taken = -1
+    word = lambda i: cores[body[i]][0] if 0 <= i < n else ""
+    for i in suspects:
+        if i <= taken:  # the second half of a divided word
+            continue
+        piece = body[i]
+        if i in ends and i + 1 < n and len(piece) > 1 and piece[-1] in HYPHENS and any(c.isalpha() for c in piece[:-1]):
+            left, right = _EDGE.sub("", piece[:-1]).lower(), word(i + 1)
             if right and any(c.isalnum() for c in right):
                 own, joined = f"{left}-{right}", left + right
                 if own not in words:
                     if joined in words:
-                        out.append((idx, "hyphen", [(joined, 0.0, words[joined])], before, after, 2))
+                        out.append((number[i], "hyphen", [(joined, 0.0, words[joined])], word(i - 1), word(i + 2), 2))
                     else:
                         a, b = index.candidates(own), index.candidates(joined)
                         a = [x for x in a if "-" in x[0]]
                         b = [x for x in b if "-" not in x[0] or "-" in left + right]
                         if a and (not b or a[0][1] < b[0][1]):
-                            out.append((idx, "misread", a, before, after, 2))
+                            out.append((number[i], "misread", a, word(i - 1), word(i + 2), 2))
                         elif b:
-                            out.append((idx, "hyphen", b, before, after, 2))
-                        elif right.isalpha() and body[i + 1][1][:1].islower():
-                            out.append((idx, "hyphen", [(joined, 0.0, 0)], before, after, 2))
-                i += 2
+                            out.append((number[i], "hyphen", b, word(i - 1), word(i + 2), 2))
+                        elif right.isalpha() and body[i + 1][:1].islower():
+                            out.append((number[i], "hyphen", [(joined, 0.0, 0)], word(i - 1), word(i + 2), 2))
+                taken = i + 1
                 continue
-        word = core(piece)
-        if word and word not in words and word.rstrip("!") not in words and not _CODE.match(word) and len(word) <= 64:
-            after = core(body[i + 1][1]) if i + 1 < len(body) else ""
-            if got := index.candidates(word):
-                out.append((idx, "misread", got, before, after, 1))
-        i += 1
+        w, odd = cores[piece]
+        if odd and (got := index.candidates(w)):
+            out.append((number[i], "misread", got, word(i - 1), word(i + 1), 1))
     return out
 
 
@@ -280,21 +319,6 @@ def frames(vols: DataFrame) -> tuple[list[str], list[str]]:
     return out[0], out[1]
 
 
-def bigrams(regions: DataFrame, words: dict[str, int]) -> DataFrame:
-    """(a, b, n): neighbouring lexicon words over the whole corpus."""
-    known = set(words)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: Counter = Counter()
-            for text in pdf["raw_text"]:
-                w = [core(p) for p in text.split()]
-                seen.update(p for p in zip(w, w[1:]) if p[0] in known and p[1] in known)
-            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
-
-    return regions.select("raw_text").mapInPandas(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def find(region_ocr: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Defects of paragraph regions: doc_id, region_id, token_idx, defect, repaired, pieces.
 
@@ -302,28 +326,45 @@ def find(region_ocr: DataFrame, lexicon: DataFrame) -> DataFrame:
     cost nearly the same the one wins whose bigrams with its neighbours are the more frequent, then the cheaper, the
     more frequent, the smaller word.
     """
-    words = load_lexicon(lexicon)
+    shared = region_ocr.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, load_lexicon(lexicon)))  # bounded by MAX_LEXICON
     regions = cut(latest(region_ocr))
     vols = cut(volumes(regions))
     frame = frames(vols)
-    cache: list[DeleteIndex] = []
+    names = ["doc_id", "region_id", "token_idx", "defect", "repaired", "cost", "freq", "before", "after", "pieces", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not cache:
-            cache.append(DeleteIndex(words))
+        index, cores = held(shared)
+        words = index.words
+        pairs: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            rows = [(None, None, 0, "", b, 0.0, n, a, "", 0, 0) for (a, b), n in pairs.items()]
+            pairs.clear()
+            return pd.DataFrame(rows, columns=names)
+
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
+                w = [cores[p][0] for p in r.raw_text.split()]
+                known = [x in words for x in w]
+                pairs.update([p for p, a, b in zip(zip(w, w[1:]), known, known[1:]) if a and b])
+                if r.kind != "paragraph":
+                    continue
                 page = None if pd.isna(r.page_number) else int(r.page_number)
                 offset = None if pd.isna(r.offset) else int(r.offset)
                 header = r.header if isinstance(r.header, str) else None
-                for idx, kind, cands, before, after, pieces in defects(r.raw_text, page, header, offset, frame, cache[0]):
-                    rows += [(r.doc_id, r.region_id, idx, kind, w, c, f, before, after, pieces, len(cands)) for w, c, f in cands]
-            yield pd.DataFrame(rows, columns=["doc_id", "region_id", "token_idx", "defect", "repaired", "cost", "freq", "before", "after", "pieces", "n"])
+                for idx, kind, cands, before, after, pieces in defects(r.raw_text, page, header, offset, frame, index, cores):
+                    rows += [(r.doc_id, r.region_id, idx, kind, c, cost, f, before, after, pieces, len(cands)) for c, cost, f in cands]
+            yield pd.DataFrame(rows, columns=names)
+            if len(pairs) > 500_000:
+                yield counted()
+        yield counted()
 
     schema = "doc_id string, region_id string, token_idx int, defect string, repaired string, cost double, freq bigint, before string, after string, pieces int, n int"
-    d = cut(regions.where("kind = 'paragraph'").join(vols.select("doc_id", "header", "offset"), "doc_id", "left").mapInPandas(run, schema))
-    b = bigrams(regions, words)
+    # one pass over the texts finds the defects and counts neighbouring lexicon words (defect '')
+    seen = cut(regions.join(vols.select("doc_id", "header", "offset"), "doc_id", "left").mapInPandas(run, schema))
+    d = seen.where("defect <> ''")
+    b = seen.where("defect = ''").groupBy(F.col("before").alias("a"), F.col("repaired").alias("b")).agg(F.sum("freq").alias("n"))
     p = b.select(F.col("a").alias("before"), F.col("b").alias("repaired"), F.col("n").alias("nb"))
     q = b.select(F.col("a").alias("repaired"), F.col("b").alias("after"), F.col("n").alias("na"))
     several = d.where("n > 1").join(p, ["before", "repaired"], "left").join(q, ["repaired", "after"], "left")
