@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_report": lambda s, d: mixing.Plan(t(s, d, "documents"), t(s, d, "mix_targets")).report(),
     "p9_found": lambda s, d: reading.found(t(s, d, "documents"), t(s, d, "level_labels")),
     "p9_levels": lambda s, d: reading.levels(t(s, d, "documents"), t(s, d, "level_labels")),
+    "p9_accuracy": lambda s, d: reading.accuracy(t(s, d, "documents"), t(s, d, "level_labels")),
     "p9_profile": lambda s, d: reading.profile(t(s, d, "documents"), t(s, d, "level_labels")),
 }
 
