@@ -46,3 +46,10 @@ def padded(b: Column, padding: int, page_w: Column, page_h: Column) -> Column:
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["x"] < x2(b)) & (b["x"] < x2(a)) & (a["y"] < y2(b)) & (b["y"] < y2(a))
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    """Pixels in both boxes, 0 for none."""
+    w = F.least(x2(a), x2(b)) - F.greatest(a["x"], b["x"])
+    h = F.least(y2(a), y2(b)) - F.greatest(a["y"], b["y"])
+    return F.greatest(w, F.lit(0)).cast("bigint") * F.greatest(h, F.lit(0))

@@ -421,10 +421,30 @@ def detect_tables(gray: np.ndarray, cfg) -> list[tuple[tuple[int, int, int, int]
             continue
         seps_y = merge_nearby(np.flatnonzero(dilate(r, 1, 3).sum(1) > 0.2 * (x1 - x0)).tolist(), 20)
         seps_x = merge_nearby(np.flatnonzero(dilate(c, 3, 1).sum(0) > 0.1 * (y1 - y0)).tolist(), 20)
-        out.append(((x0, y0, x1 - x0, y1 - y0), cells(x0, y0, seps_x, seps_y, cfg.merged_column)))
+        ink = dark[y0:y1, x0 : x + bw]
+        seps_x = column_edges(seps_x, x1 - x0, x + bw - x0, ink)
+        out.append(((x0, y0, max(x1 - x0, seps_x[-1]), y1 - y0), cells(x0, y0, seps_x, seps_y, cfg.merged_column)))
     return out
 
 
+def column_edges(seps: list[int], width: int, reach: int, ink: np.ndarray) -> list[int]:
+    """Separators with those that an open table lacks: its left edge, its right edge, and the end of its rows at
+    ``reach`` where what lies beyond the last one is printed on or wide."""
+    seps = [0, *seps] if not seps or seps[0] > 20 else list(seps)
+    if width > seps[-1] + 20:
+        seps.append(width)
+    if reach > seps[-1] + 30:
+        beyond = ink[:, seps[-1] : reach]
+        if (beyond.size and beyond.mean() > 0.06) or reach - seps[-1] > 150:
+            seps.append(reach)
+    return seps
+
+
+def swap_channels(img: np.ndarray) -> np.ndarray:
+    """RGB to BGR or back; gray stays."""
+    return img if img.ndim == 2 else np.ascontiguousarray(img[..., ::-1])
+
+
 def cells(x0: int, y0: int, xs: list[int], ys: list[int], merged_column: int | None = None) -> list[tuple[int, int, int, int]]:
     """Cells between neighbouring separators, 2 pixels inside, none smaller than 8; of merged_column all rows but
     the first are one cell, listed with the last row."""
@@ -484,7 +504,7 @@ def detect_page(img: np.ndarray, cfg) -> list[tuple[str, tuple[int, int, int, in
     if low < h - 20 and has_content(gray[low:]):
         out.append(("footer", (0, low, w, h - low), -1))
         mask[low:] = True
-    dark = (gray <= otsu(gray)) & (gray <= 200) & ~mask
+    dark = (gray <= otsu(gray)) & ~mask
     for x, y, bw, bh in boxes(dilate(dilate(dark, 20, 3), 5, 15)):
         part = mask[y : y + bh, x : x + bw]
         if not block_ok(x, y, bw, bh, w, h, cfg.min_region_area, cfg.min_region_dim) or part.mean() > 0.5:

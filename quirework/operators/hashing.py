@@ -29,24 +29,40 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def bands(code: Column, bits: int, n: int) -> Column:
+    """The hash cut into n bands of nearly equal width as numbers, from its 16-bit words."""
+    ends = [round(i * bits / n) for i in range(n + 1)]
+    out = []
+    for lo, hi in zip(ends, ends[1:]):
+        value = F.lit(0).cast("bigint")
+        for at in range(lo // 16, -(-hi // 16)):  # the part of each word that lies in the band
+            a, b = max(lo, at * 16), min(hi, at * 16 + 16)
+            part = F.shiftright(code[at].cast("bigint"), at * 16 + 16 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint"))
+            value = F.shiftleft(value, b - a).bitwiseOR(part)
+        out.append(value)
+    return F.array(*out)
+
+
 def similar_pairs(codes: DataFrame, max_distance: int = 10) -> DataFrame:
     """(hash_a, hash_b, distance), hash_a < hash_b: different hashes of equal length within the distance, all of them.
 
-    A hash of m 16-bit bands within distance d of another agrees with it in some band up to d // m bits. Every
+    A hash cut into m bands that is within distance d of another agrees with it in some band up to d // m bits. Every
     band value goes out once for the one side and with every pattern of that many bits for the other, so the pairs
-    meet in an equi-join; the exact distance decides. ``codes`` has a column hash; repeated and null ones count once
-    and not at all. Bands that very many different hashes share are split by the skew join of AQE.
+    meet in an equi-join; the exact distance decides. Long hashes have d + 1 bands, which must agree in full, as long as
+    these are at least 16 bits wide; shorter ones bands of 16 bits. ``codes`` has a column hash; repeated and null ones
+    count once and not at all. Bands that very many different hashes share are split by the skew join of AQE.
     """
     h = codes.select("hash").where("hash is not null").distinct().withColumn("w", words(F.col("hash"))).withColumn("m", F.size("w"))
     lengths = [r["m"] for r in h.select("m").distinct().collect()]  # one row per length of hash
     out = None
     for m in lengths:
-        near = min(16, max_distance // m)
+        n = max_distance + 1 if (max_distance + 1) * 16 <= m * 16 else m
+        near = min(16, max_distance // n)
         masks = sorted(sum(1 << b for b in c) for k in range(near + 1) for c in combinations(range(16), k))
-        own = h.where(F.col("m") == m)
-        base = own.select(F.col("hash").alias("hash_b"), F.col("w").alias("wb"), F.posexplode("w").alias("band", "v"))
-        probe = own.select(F.col("hash").alias("hash_a"), F.col("w").alias("wa"), F.posexplode("w").alias("band", "v0"))
-        probe = probe.select("hash_a", "wa", "band", F.explode(F.transform(F.array(*[F.lit(x) for x in masks]), lambda x: x.bitwiseXOR(F.col("v0")))).alias("v"))
+        own = h.where(F.col("m") == m).withColumn("v", bands(F.col("w"), m * 16, n) if n != m else F.col("w").cast("array<bigint>"))
+        base = own.select(F.col("hash").alias("hash_b"), F.col("w").alias("wb"), F.posexplode("v").alias("band", "v"))
+        probe = own.select(F.col("hash").alias("hash_a"), F.col("w").alias("wa"), F.posexplode("v").alias("band", "v0"))
+        probe = probe.select("hash_a", "wa", "band", F.explode(F.transform(F.array(*[F.lit(x).cast("bigint") for x in masks]), lambda x: x.bitwiseXOR(F.col("v0")))).alias("v"))
         p = probe.join(base, ["band", "v"]).where("hash_a < hash_b").withColumn("distance", distance(F.col("wa"), F.col("wb"))).where(F.col("distance") <= max_distance)
         p = p.select("hash_a", "hash_b", "distance").distinct()
         out = p if out is None else out.unionByName(p)

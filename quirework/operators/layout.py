@@ -165,25 +165,57 @@ def detect(pages: DataFrame, cfg: Layout = Layout()) -> DataFrame:
 def crops(regions: DataFrame, pages: DataFrame, padding: int = 4) -> DataFrame:
     """Regions with their crop (data, height, width, n_channels) and image_path. A region whose page is missing or
     whose crop is empty has none, and neither have its children."""
-    p = pages.select("doc_id", "page_number", F.col("height").alias("_h"), F.col("width").alias("_w"), "n_channels", F.col("data").alias("_page"))
-    j = regions.join(p, ["doc_id", "page_number"], "left")
+    # a page meets its boxes, so its pixels move once whatever the number of regions
+    boxes = regions.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("region_id", "parent_region_id", "bbox")).alias("_boxes"))
+    j = pages.select("doc_id", "page_number", "height", "width", "n_channels", "data").join(boxes, ["doc_id", "page_number"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                got = (None, None, None, None)
-                if r["_page"] is not None:
-                    c = I.crop(decode(r["_page"], int(r["_h"]), int(r["_w"]), int(r["n_channels"])), r["bbox"]["x"], r["bbox"]["y"], r["bbox"]["width"], r["bbox"]["height"], padding)
-                    if c.size:
-                        got = (c.tobytes(), c.shape[0], c.shape[1], int(r["n_channels"]))
-                out.append((r["doc_id"], r["region_id"], *got))
+            for r in pdf.itertuples(index=False):
+                try:
+                    img = decode(r.data, int(r.height), int(r.width), int(r.n_channels))
+                except (TypeError, ValueError):
+                    continue
+                got = {x["region_id"]: (x["parent_region_id"], I.crop(img, x["bbox"]["x"], x["bbox"]["y"], x["bbox"]["width"], x["bbox"]["height"], padding)) for x in r[-1]}
+                for name, (parent, c) in got.items():
+                    if c.size and (parent is None or (parent in got and got[parent][1].size)):
+                        out.append((r.doc_id, name, c.tobytes(), c.shape[0], c.shape[1], int(r.n_channels)))
             yield pd.DataFrame(out, columns=["doc_id", "region_id", "data", "height", "width", "n_channels"], dtype=object)
 
-    c = j.select("doc_id", "region_id", "bbox", "_h", "_w", "n_channels", "_page").mapInPandas(run, "doc_id string, region_id string, data binary, height int, width int, n_channels int")
+    c = j.select("doc_id", "height", "width", "n_channels", "data", "_boxes").mapInPandas(run, "doc_id string, region_id string, data binary, height int, width int, n_channels int")
     own = regions.join(c, ["doc_id", "region_id"], "left")
-    up = c.select("doc_id", F.col("region_id").alias("parent_region_id"), F.col("data").isNotNull().alias("_up"))
-    own = own.join(up, ["doc_id", "parent_region_id"], "left")
-    ok = F.col("data").isNotNull() & (F.col("parent_region_id").isNull() | F.col("_up"))
-    path = F.when(ok, F.concat(F.lit("layouts/"), "doc_id", F.lit("/"), "region_id", F.lit(".png")))
-    return own.withColumns({"image_path": path, "data": F.when(ok, F.col("data"))}).drop("_up")
+    return own.withColumn("image_path", F.when(F.col("data").isNotNull(), F.concat(F.lit("layouts/"), "doc_id", F.lit("/"), "region_id", F.lit(".png"))))
+
+
+def overlapping(boxes: DataFrame) -> DataFrame:
+    """(doc_id, page_number, region_id, other_id, area): regions of one page, region_id < other_id, that share pixels, and
+    how many. A page's regions are few, so the join on the page is what bounds the pairs; null pages meet nothing."""
+    a = boxes.select("doc_id", "page_number", "region_id", "bbox")
+    b = a.select("doc_id", "page_number", F.col("region_id").alias("other_id"), F.col("bbox").alias("other"))
+    j = a.join(b, ["doc_id", "page_number"]).where((F.col("region_id") < F.col("other_id")) & B.overlaps(F.col("bbox"), F.col("other")))
+    return j.select("doc_id", "page_number", "region_id", "other_id", B.shared_area(F.col("bbox"), F.col("other")).alias("area"))
+
+
+def outside(boxes: DataFrame, kinds: tuple[str, ...] = ("table", "header", "footer")) -> DataFrame:
+    """Regions of other types that touch no region of these types on their page (spatial anti-join)."""
+    blockers = boxes.where(F.col("type").isin(*kinds)).select(F.col("doc_id").alias("_d"), F.col("page_number").alias("_p"), F.col("bbox").alias("_b"))
+    rest = boxes.where(~F.col("type").isin(*kinds))
+    on = (rest["doc_id"] == blockers["_d"]) & (rest["page_number"] == blockers["_p"]) & B.overlaps(rest["bbox"], blockers["_b"])
+    return rest.join(blockers, on, "left_anti")
+
+
+def table_rows(words: DataFrame, region_ocr: DataFrame) -> DataFrame:
+    """Rebuilt tables: (doc_id, region_id, i, n_cells, text), the cells of row i joined by `` | ``, each with its words in
+    order. A word belongs to the row and column whose separator is the last before where it begins."""
+    ys, xs = table_separators(words, region_ocr)
+    keys = ["doc_id", "region_id"]
+    boxes = region_boxes(words, region_ocr).where("type = 'table'").select(*keys, F.col("bbox.x").alias("_x"), F.col("bbox.y").alias("_y"))
+    w = word_rows(words).where("bbox is not null and trim(text) <> ''").join(boxes, keys)
+    w = w.select(*keys, "word_idx", F.trim("text").alias("text"), (F.col("bbox.x1") - F.col("_x")).alias("x"), (F.col("bbox.y1") - F.col("_y")).alias("y"))
+    for seps, at, n in ((ys, "y", "i"), (xs, "x", "j")):
+        s = seps.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_s"))
+        w = w.join(s, keys).withColumn(n, F.greatest(F.lit(1), F.size(F.filter("_s", lambda e: e <= F.col(at)))) - 1).drop("_s")
+    cell = w.groupBy(*keys, "i", "j").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda e: e["text"]), " ").alias("t"))
+    row = F.array_sort(F.collect_list(F.struct("j", "t")))
+    return cell.groupBy(*keys, "i").agg(F.count(F.lit(1)).cast("int").alias("n_cells"), F.array_join(F.transform(row, lambda e: e["t"]), " | ").alias("text"))

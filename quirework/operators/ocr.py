@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.functions.image import swap_channels
 from quirework.operators.assess import decode
 from quirework.operators.layout import kind, latest_regions, word_rows
 
@@ -55,9 +56,41 @@ class ModuleEngine:
         return self.reader(image)
 
 
+def tesseract_words(image: np.ndarray) -> list[Word]:
+    """Words of one crop by Tesseract's table of words; blank ones are left out, a confidence of -1 is 0."""
+    import pytesseract
+
+    rows = pytesseract.image_to_data(swap_channels(image), output_type=pytesseract.Output.DICT)
+    out = []
+    for text, conf, x, y, w, h in zip(*(rows[k] for k in ("text", "conf", "left", "top", "width", "height"))):
+        if word := str(text).strip():
+            out.append(Word(word, min(1.0, max(0.0, float(conf) / 100)), (int(x), int(y), int(x) + int(w), int(y) + int(h))))
+    return out
+
+
+_PADDLE: dict[str, object] = {}
+
+
+def paddle_words(image: np.ndarray) -> list[Word]:
+    """Lines of one crop by PaddleOCR, the model loaded once per worker; a polygon becomes the box around it."""
+    if "model" not in _PADDLE:
+        import inspect
+
+        from paddleocr import PaddleOCR
+
+        known = inspect.signature(PaddleOCR.__init__).parameters
+        _PADDLE["model"] = PaddleOCR(lang="en", **({"use_gpu": False} if "use_gpu" in known else {"device": "cpu"} if "device" in known else {}))
+    pages = _PADDLE["model"].ocr(image) or []
+    out = []
+    for points, (text, conf) in (line for line in (pages[0] if pages else None) or [] if line is not None):
+        xs, ys = [int(p[0]) for p in points], [int(p[1]) for p in points]
+        out.append(Word(str(text), min(1.0, max(0.0, float(conf))), (min(xs), min(ys), max(xs), max(ys))))
+    return out
+
+
 ENGINES: dict[str, Callable[[], Engine]] = {
-    "paddleocr": lambda: ModuleEngine("paddleocr", "paddleocr"),
-    "tesseract": lambda: ModuleEngine("tesseract", "pytesseract", binary="tesseract"),
+    "paddleocr": lambda: ModuleEngine("paddleocr", "paddleocr", paddle_words),
+    "tesseract": lambda: ModuleEngine("tesseract", "pytesseract", tesseract_words, "tesseract"),
 }
 
 
@@ -69,19 +102,31 @@ def pick_engine(primary: str, fallback: str | None = None) -> str:
     raise RuntimeError(f"no OCR engine: neither {primary} nor {fallback} is available")
 
 
+#: Per worker: the engines its tasks share.
+_HELD: dict[str, tuple[bytes, Engine]] = {}
+
+
+def held(name: str, make: Callable[[], Engine]) -> Engine:
+    """The worker's engine of that name; one registered anew under the name replaces it."""
+    from pyspark import cloudpickle
+
+    mark = cloudpickle.dumps(make)
+    if name not in _HELD or _HELD[name][0] != mark:
+        _HELD[name] = mark, make()
+    return _HELD[name][1]
+
+
 def read_regions(crops: DataFrame, engine: str) -> DataFrame:
     """Words of region crops. A region without crop gives no rows, an engine's failure a row with its error."""
     make = ENGINES[engine]
-    held: list[Engine] = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not held:
-            held.append(make())
+        reader = held(engine, make)
         for pdf in batches:
             rows: list[tuple] = []
             for r in pdf.itertuples(index=False):
                 try:
-                    for i, w in enumerate(held[0].run(decode(r.data, int(r.height), int(r.width), int(r.n_channels)))):
+                    for i, w in enumerate(reader.run(decode(r.data, int(r.height), int(r.width), int(r.n_channels)))):
                         box = None if w.bbox is None else dict(zip(("x1", "y1", "x2", "y2"), w.bbox))
                         rows.append((r.doc_id, r.region_id, i, w.text, w.confidence, box, None))
                 except Exception as e:  # noqa: BLE001 - an engine may raise anything; the row tells

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.config import Config
+from quirework.functions.image import swap_channels
 from quirework.operators import assess, layout, ocr
 from quirework.sources import images
 
@@ -76,15 +77,25 @@ class Pipeline:
 
 
 def document_pdfs(pages: DataFrame, dpi: int = 300) -> DataFrame:
-    """(doc_id, pdf): the pages of each document as one file; a document is the unit of work."""
+    """(doc_id, pdf): the pages of each document as one file. Pages are compressed where they are; only the compressed
+    pages of a document come together."""
+    import zlib
+
     import numpy as np
     import pandas as pd
 
+    def pack(batches):
+        for pdf in batches:
+            body = [zlib.compress(np.ascontiguousarray(swap_channels(assess.decode(d, int(h), int(w), int(c)))).tobytes()) for d, h, w, c in zip(pdf["data"], pdf["height"], pdf["width"], pdf["n_channels"])]
+            yield pdf.drop(columns="data").assign(body=body)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [assess.decode(r.data, int(r.height), int(r.width), int(r.n_channels)) for r in pdf.sort_values("page_number").itertuples(index=False)]
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "pdf": [images.pdf([np.asarray(x) for x in own], dpi)]})
+        own = [(int(r.height), int(r.width), int(r.n_channels), r.body) for r in pdf.sort_values("page_number").itertuples(index=False)]
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "pdf": [images.pdf_of(own, dpi)]})
 
-    return pages.select("doc_id", "page_number", "height", "width", "n_channels", "data").groupBy("doc_id").applyInPandas(run, "doc_id string, pdf binary")
+    cols = pages.select("doc_id", "page_number", "height", "width", "n_channels", "data")
+    small = cols.mapInPandas(pack, "doc_id string, page_number int, height int, width int, n_channels int, body binary")
+    return small.groupBy("doc_id").applyInPandas(run, "doc_id string, pdf binary")
 
 
 def manifest(crops: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -72,17 +73,20 @@ def png(img: np.ndarray, quality: int = 95) -> bytes:
 
 def pdf(images: list[np.ndarray], dpi: int = 300) -> bytes:
     """A PDF with one image per page, page size in points = pixels x 72 / dpi. No images is an error."""
-    if not images:
+    return pdf_of([(*i.shape[:2], 1 if i.ndim == 2 else i.shape[2], zlib.compress((i if i.ndim == 2 else np.ascontiguousarray(i[..., ::-1])).tobytes())) for i in images], dpi)
+
+
+def pdf_of(pages: list[tuple[int, int, int, bytes]], dpi: int = 300) -> bytes:
+    """The same from (height, width, channels, compressed rows in gray or RGB)."""
+    if not pages:
         raise ValueError("no images")
     parts: list[bytes] = []
-    n = len(images)
+    n = len(pages)
     kids = " ".join(f"{3 + 3 * i} 0 R" for i in range(n))
     parts += [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {n} >>".encode()]
-    for i, img in enumerate(images):
-        h, w = img.shape[:2]
+    for i, (h, w, channels, body) in enumerate(pages):
         pw, ph = w * 72 / dpi, h * 72 / dpi
-        body = zlib.compress((img if img.ndim == 2 else np.ascontiguousarray(img[..., ::-1])).tobytes())
-        space = "DeviceGray" if img.ndim == 2 else "DeviceRGB"
+        space = "DeviceGray" if channels == 1 else "DeviceRGB"
         draw = f"q {pw:.4f} 0 0 {ph:.4f} 0 0 cm /I Do Q".encode()
         at = 3 + 3 * i
         parts.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {pw:.4f} {ph:.4f}] /Resources << /XObject << /I {at + 2} 0 R >> >> /Contents {at + 1} 0 R >>".encode())
@@ -114,3 +118,93 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     """JSON lines, a folder per value of ``by`` if given."""
     w = df.write.mode("overwrite")
     (w.partitionBy(by) if by else w).json(path)
+
+
+def page_metadata(pages: DataFrame, dpi: int = 300) -> DataFrame:
+    """(doc_id, page_number, page_index, width_px, height_px, width_pt, height_pt, rotation): size in points at the
+    resolution of rendering; rendered pages are upright."""
+    pt = lambda c: F.col(c) * F.lit(72.0) / F.lit(float(dpi))
+    return pages.select("doc_id", "page_number", (F.col("page_number") - 1).alias("page_index"), F.col("width").alias("width_px"), F.col("height").alias("height_px"), pt("width").alias("width_pt"), pt("height").alias("height_pt"), F.lit(0).alias("rotation"))
+
+
+_BOX = re.compile(rb"/MediaBox\s*\[\s*(-?[\d.]+)\s+(-?[\d.]+)\s+(-?[\d.]+)\s+(-?[\d.]+)\s*\]")
+_TURN = re.compile(rb"/Rotate\s+(-?\d+)")
+_PAGE = re.compile(rb"/Type\s*/Page(?![a-zA-Z])")
+
+
+def pdf_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, page_number, page_index, width_pt, height_pt, rotation) of PDF files whose page objects are plain,
+    read without a renderer. A page without a box of its own has that of the one before; other files give no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf_ in batches:
+            rows = []
+            for path_, content in zip(pdf_["path"], pdf_["content"]):
+                size, n = (None, None), 0
+                for part in content.split(b"endobj"):
+                    if box := _BOX.search(part):
+                        x0, y0, x1, y1 = map(float, box.groups())
+                        size = x1 - x0, y1 - y0
+                    if _PAGE.search(part):
+                        turn = _TURN.search(part)
+                        rows.append((path_, n + 1, n, *size, int(turn[1]) % 360 if turn else 0))
+                        n += 1
+            yield pd.DataFrame(rows, columns=["source_path", "page_number", "page_index", "width_pt", "height_pt", "rotation"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_path string, page_number int, page_index int, width_pt double, height_pt double, rotation int")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_json`` wrote, with the schema of the result (``RESULTS`` has those of the phases)."""
+    return spark.read.schema(schema).json(path)
+
+
+_BBOX = "bbox struct<x:int,y:int,width:int,height:int>"
+RESULTS = {
+    "assessment": "doc_id string, page_number int, dpi double, dpi_ok boolean, blur_score double, is_blurry boolean, noise_score double, is_noisy boolean, contrast_score double, is_low_contrast boolean, skew_angle double, needs_deskew boolean, quality string, enhancement_needed boolean, width_px int, height_px int",
+    "layout": f"doc_id string, page_number int, ordinal int, parent_ordinal int, type string, {_BBOX}, region_id string, parent_region_id string, depth int",
+    "manifest": f"doc_id string, page_number int, region_id string, parent_region_id string, depth int, ordinal int, type string, {_BBOX}, image_path string, has_image boolean",
+    "ocr_result": "doc_id string, region_id string, word_idx int, text string, confidence double, bbox struct<x1:int,y1:int,x2:int,y2:int>, error string",
+}
+
+
+def xlsx(rows: list[list]) -> bytes:
+    """A workbook with one sheet of texts and numbers; null cells are left out."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def cell(v: object) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", str(v))
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind, pack = "application/vnd.openxmlformats-officedocument.spreadsheetml", "http://schemas.openxmlformats.org/package/2006"
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return out.getvalue()
+
+
+def workbooks(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """(key, xlsx): the rows of each key, a document's tables say, as one workbook, with a line of column names."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order)
+        body = [[None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r] for r in own[columns].itertuples(index=False)]
+        return pd.DataFrame({key: [own[key].iloc[0]], "xlsx": [xlsx([columns, *body])]})
+
+    return rows.groupBy(key).applyInPandas(run, f"{key} string, xlsx binary")

@@ -47,7 +47,8 @@ def latest_per_user(events: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, through the stream engine; the last result per micro-batch lands in the shared folder."""
+    """All that is there now, through the stream engine. Each micro-batch has its own folder, which a batch that comes
+    again overwrites, so a replay counts once; of mode complete the last batch is the result."""
     import uuid
 
     spark = stream.sparkSession
@@ -56,8 +57,8 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
     schema = stream.schema
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={n}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
