@@ -155,3 +155,35 @@ def enhance(pages: DataFrame, assessment: DataFrame, cfg: Enhancement = Enhancem
             yield pdf[names]
 
     return j.where("size(ops) = 0").select(*names).unionByName(todo.mapInPandas(run, pages.schema))
+
+
+def page_hashes(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_number, phash, dhash, ahash) of 64 bits each; pages whose bytes do not fit their shape have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    own = I.all_hashes(I.to_gray(decode(r.data, r.height, r.width, r.n_channels)))
+                except (TypeError, ValueError):
+                    own = None, None, None
+                rows.append((r.doc_id, r.page_number, *own))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "phash", "dhash", "ahash"], dtype=object)
+
+    return pages.select("doc_id", "page_number", "height", "width", "n_channels", "data").mapInPandas(run, "doc_id string, page_number int, phash string, dhash string, ahash string")
+
+
+def morphology(documents: DataFrame, above: int = 32) -> DataFrame:
+    """(doc_id, dark, dilated, opened): printed pixels of each text's raster, after growing them by a 3 x 3 square, and
+    those that lie in horizontal strokes of at least 3."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, text in zip(pdf["doc_id"], pdf["text"]):
+                m = text_raster(text) > above
+                rows.append((d, int(m.sum()), int(I.dilate(m, 3, 3).sum()), int(I.opening(m, 3, 1).sum())))
+            yield pd.DataFrame(rows, columns=["doc_id", "dark", "dilated", "opened"])
+
+    return documents.select("doc_id", "text").where("text <> ''").mapInPandas(run, "doc_id bigint, dark bigint, dilated bigint, opened bigint")

@@ -37,7 +37,7 @@ def bands(code: Column, bits: int, n: int) -> Column:
         value = F.lit(0).cast("bigint")
         for at in range(lo // 16, -(-hi // 16)):  # the part of each word that lies in the band
             a, b = max(lo, at * 16), min(hi, at * 16 + 16)
-            part = F.shiftright(code[at].cast("bigint"), at * 16 + 16 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint"))
+            part = F.shiftright(F.get(code, F.lit(at)).cast("bigint"), at * 16 + 16 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint"))
             value = F.shiftleft(value, b - a).bitwiseOR(part)
         out.append(value)
     return F.array(*out)

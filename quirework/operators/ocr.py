@@ -207,3 +207,16 @@ def review_units(words: DataFrame, region_ocr: DataFrame, threshold: float = 0.8
     rest = t.join(w.select("doc_id", "region_id").distinct(), ["doc_id", "region_id"], "left_anti")
     by_cell = rest.where((F.col("region_type") == "cell") & (F.coalesce(F.nanvl("region_confidence", F.lit(0.0)), F.lit(0.0)) < threshold)).select("doc_id", "region_id", F.lit("cell").alias("unit"), F.lit(None).cast("int").alias("word_idx"))
     return by_word.unionByName(by_cell)
+
+
+def confidence_by_unit(region_ocr: DataFrame) -> DataFrame:
+    """(region_type, unit, n, confidence_e4): mean confidence of characters, words and regions as each region states it,
+    in whole ten-thousandths; values outside 0..1 do not count."""
+    units = ("char", "word", "region")
+    extra = F.struct("region_type", "page_number", "raw_text", *[f"{u}_confidence" for u in units])
+    key = F.struct(F.col("ocr_at").isNotNull(), "ocr_at", F.col("region_type").isNotNull(), "region_type", F.col("page_number").isNotNull(), "page_number", F.col("raw_text").isNotNull(), "raw_text")
+    r = region_ocr.groupBy("doc_id", "region_id").agg(F.max_by(extra, key).alias("r"))
+    each = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"r.{u}_confidence").alias("c")) for u in units])
+    e = r.select(kind("r.region_type").alias("region_type"), F.explode(each).alias("e")).select("region_type", "e.unit", "e.c").where("c >= 0 and c <= 1")
+    total, n = F.sum(e4(F.col("c"))), F.count(F.lit(1))
+    return e.groupBy("region_type", "unit").agg(n.alias("n"), F.floor((2 * total + n) / (2 * n)).cast("bigint").alias("confidence_e4"))

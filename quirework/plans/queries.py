@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import bbox as B
@@ -296,6 +296,7 @@ register(
     "ocr_words", lambda s, d: ocr.clean_words(t(s, d, "words")).select("doc_id", "region_id", "word_idx", "text", ocr.e4(F.col("confidence")).alias("confidence_e4")),
     f"with {_WORDS} select doc_id, region_id, word_idx, text, cast(round(c * 10000) as bigint) confidence_e4 from w",
 )
+_WORDS_ONE = """wr as (select distinct doc_id, region_id, word_idx, text, bbox.x1 bx1, bbox.y1 by1 from words)"""
 register("region_results", lambda s, d: ocr.region_results(t(s, d, "words")), f"with {_WORDS} select doc_id, region_id, n_words, text, confidence_e4 from rr")
 register(
     "document_results", lambda s, d: ocr.document_results(t(s, d, "words"), t(s, d, "region_ocr")),
@@ -424,3 +425,106 @@ def raster_pages(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "height", "width", "n_channels", "data", "source_path"])
 
     return documents.select("doc_id", "text").where("text <> ''").mapInPandas(run, images.PAGES)
+
+
+# ---- images: the text rasters through the vectorised operators
+
+
+def _raster(s: SparkSession, d: str) -> DataFrame:
+    return raster_pages(t(s, d, "documents"))
+
+
+register("page_assessment", lambda s, d: assess.assess(_raster(s, d)))
+register("detected_regions", lambda s, d: layout.detect(_raster(s, d)))
+register("region_crops", lambda s, d: layout.crops(layout.detect(_raster(s, d)), _raster(s, d)).select("doc_id", "region_id", "type", "height", "width", "image_path"))
+register("page_hashes", lambda s, d: assess.page_hashes(_raster(s, d)))
+register(
+    "page_metadata", lambda s, d: images.page_metadata(_raster(s, d)),
+    f"""with {_PX}, z as (select doc_id, max(h) h from px group by 1) select cast(doc_id as varchar) doc_id, 1 page_number, 0 page_index, 80 width_px, h height_px,
+    80 * 72.0::double / 300.0::double width_pt, h * 72.0::double / 300.0::double height_pt, 0 rotation from z""",
+)
+register(
+    "morphology", lambda s, d: assess.morphology(t(s, d, "documents")),
+    f"""with {_PX}, k as (select doc_id, h, y, x, case when v > 32 then 1 else 0 end a from px),
+    dx as (select *, max(a) over (partition by doc_id, y order by x rows between 1 preceding and 1 following) m from k),
+    d as (select *, max(m) over (partition by doc_id, x order by y rows between 1 preceding and 1 following) dil from dx),
+    ox as (select *, min(a) over (partition by doc_id, y order by x rows between 1 preceding and 1 following) m2 from d),
+    p as (select *, max(m2) over (partition by doc_id, y order by x rows between 1 preceding and 1 following) op from ox)
+    select doc_id, cast(sum(a) as bigint) dark, cast(sum(dil) as bigint) dilated, cast(sum(op) as bigint) opened from p group by 1""",
+)
+
+# ---- boxes, confidences, results as JSON
+
+register(
+    "box_forms",
+    lambda s, d: t(s, d, "words").where("bbox is not null").select("doc_id", "region_id", "word_idx", B.from_corners(F.col("bbox")).alias("b"), "bbox").distinct()
+    .select("doc_id", "region_id", "word_idx", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.width").alias("width"), F.col("b.height").alias("height"), B.corners(F.col("b"))["x2"].alias("x2"), B.corners(F.col("b"))["y2"].alias("y2"), F.array_join(F.array(*[
+        B.of_polygon(F.array(*[F.struct((F.col(f"bbox.{a}") + 0.75).alias("x"), (F.col(f"bbox.{b}") + 0.25).alias("y")) for a, b in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]))[c] for c in ("x1", "y1", "x2", "y2")
+    ]), ",").alias("around")),
+    """select distinct doc_id, region_id, word_idx, bbox.x1 x, bbox.y1 y, bbox.x2 - bbox.x1 width, bbox.y2 - bbox.y1 height, bbox.x2 x2, bbox.y2 y2,
+    concat_ws(',', least(bbox.x1, bbox.x2), least(bbox.y1, bbox.y2), greatest(bbox.x1, bbox.x2), greatest(bbox.y1, bbox.y2)) around from words where bbox is not null""",
+)
+register(
+    "percent_confidence",
+    lambda s, d: t(s, d, "words").where("confidence is not null and not isnan(confidence)").select(F.when(F.col("word_idx") % 7 == 0, F.lit(-1.0)).otherwise(F.round(F.col("confidence") * 100)).alias("percent")).distinct().select("percent", ocr.percent_confidence(F.col("percent")).alias("confidence")),
+    """select distinct percent, case when percent = -1 then 0 else greatest(0, percent / 100) end confidence from (select case when word_idx % 7 = 0 then -1.0 else round(confidence * 100) end::double percent from words where confidence is not null and not isnan(confidence))""",
+)
+register(
+    "confidence_by_unit", lambda s, d: ocr.confidence_by_unit(t(s, d, "region_ocr")),
+    f"""with {_REGIONS.replace("region_confidence,", "region_confidence, char_confidence, word_confidence,", 1)}, u as (unpivot (select "type", char_confidence, word_confidence, region_confidence from regions) on char_confidence, word_confidence, region_confidence into name unit value c)
+    select "type" region_type, replace(unit, '_confidence', '') unit, count(*) n, cast(floor((2 * sum(cast(round(c * 10000) as bigint)) + count(*)) // (2 * count(*))) as bigint) confidence_e4 from u where c >= 0 and c <= 1 group by 1, 2""",
+)
+_BOX_JSON = "struct<doc_id:string,region_id:string,type:string,page_number:int,bbox:struct<x:int,y:int,width:int,height:int>>"
+register(
+    "layout_json", lambda s, d: _boxes(s, d).select(F.from_json(F.to_json(F.struct("doc_id", "region_id", "type", "page_number", "bbox")), _BOX_JSON).alias("j")).select("j.doc_id", "j.region_id", "j.type", "j.page_number", "j.bbox.x", "j.bbox.y", "j.bbox.width", "j.bbox.height"),
+    f'with {_REGIONS} select doc_id, region_id, "type", page_number, x, y, w width, h height from boxes',
+)
+
+# ---- regions against each other
+
+register(
+    "types_by_count", lambda s, d: layout.count_by_type(_boxes(s, d)).select(F.row_number().over(Window.orderBy(F.desc("n"), "type")).alias("rank"), "type", "n").orderBy("rank"),
+    f'with {_REGIONS}, c as (select "type", count(*) n from boxes group by 1) select cast(row_number() over (order by n desc, "type" nulls first) as int) "rank", "type", n from c',
+)
+register(
+    "overlapping_regions", lambda s, d: layout.overlapping(_boxes(s, d)),
+    f"""with {_REGIONS} select a.doc_id, a.page_number, a.region_id, b.region_id other_id, cast(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as bigint) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) area
+    from boxes a join boxes b on a.doc_id = b.doc_id and a.page_number = b.page_number and a.region_id < b.region_id where a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h""",
+)
+register(
+    "regions_outside_tables", lambda s, d: layout.outside(_boxes(s, d)).select("doc_id", "region_id", "type"),
+    f"""with {_REGIONS} select doc_id, region_id, "type" from boxes a where "type" not in ('table', 'header', 'footer') and not exists (select 1 from boxes b where b.doc_id = a.doc_id and b.page_number = a.page_number
+    and b."type" in ('table', 'header', 'footer') and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h)""",
+)
+register(
+    "rebuild_tables", lambda s, d: layout.table_rows(t(s, d, "words"), t(s, d, "region_ocr")),
+    f"""with {_SEPS}, {_WORDS_ONE}, p as (select w.doc_id, w.region_id, word_idx, trim(text) text, bx1 - b.x x, by1 - b.y y from wr w join boxes b using (doc_id, region_id) where "type" = 'table' and bx1 is not null and trim(text) <> ''),
+    ly as (select doc_id, region_id, list(y) l from ys group by all), lx as (select doc_id, region_id, list(x) l from xs group by all),
+    c as (select p.doc_id, p.region_id, word_idx, text, greatest(1, len(list_filter(ly.l, lambda e: e <= p.y))) - 1 i, greatest(1, len(list_filter(lx.l, lambda e: e <= p.x))) - 1 j from p join ly using (doc_id, region_id) join lx using (doc_id, region_id)),
+    g as (select doc_id, region_id, i, j, string_agg(text, ' ' order by word_idx, text) t from c group by all)
+    select doc_id, region_id, cast(i as int) i, cast(count(*) as int) n_cells, string_agg(t, ' | ' order by j) "text" from g group by 1, 2, 3""",
+)
+register("table_workbooks", lambda s, d: images.workbooks(layout.table_rows(t(s, d, "words"), t(s, d, "region_ocr")).withColumn("_o", F.struct("region_id", "i").cast("string")), "doc_id", "_o", ["region_id", "i", "text"]).select("doc_id", (F.length("xlsx") > 0).alias("written")))
+
+# ---- learning from reviews
+
+register(
+    "import_defaults", lambda s, d: knowledge.import_defaults(t(s, d, "knowledge_packs")),
+    """with e as (select coalesce(created_at, date_trunc('day', received_at)) at_, unnest(entries) e from knowledge_packs),
+    f as (select e.entry_id entry_id, e.ocr_value ocr_value, cast(coalesce(e.created_at, at_) as timestamp) created_at, e.last_validated lv, coalesce(e.validation_count, 0) validation_count,
+      coalesce(case when isnan(e.learned_confidence) then null else e.learned_confidence end, 0.5) learned_confidence from e where e.entry_id is not null)
+    select distinct entry_id, ocr_value, created_at, coalesce(greatest(lv, created_at), created_at) last_validated, validation_count, learned_confidence from f""",
+)
+_REVIEWED = """r as (select doc_id, region_id, raw_text, corrected_text, min(ocr_at) a, max(ocr_at) b from region_ocr where is_corrected and corrected_text is not null and raw_text is not null and doc_id is not null and region_id is not null group by 1, 2, 3, 4),
+    n as (select raw_text, corrected_text, count(*) validation_count, min(a) created_at, max(b) last_validated from r group by 1, 2),
+    rev as (select 'review-' || md5(raw_text || chr(31) || corrected_text) entry_id, corrected_text ocr_value, validation_count, created_at, last_validated, validation_count::double / (sum(validation_count) over (partition by raw_text))::double learned_confidence from n)"""
+register("reviewed_entries", lambda s, d: knowledge.reviewed(t(s, d, "region_ocr")), f"with {_REVIEWED} select * from rev")
+register(
+    "review_upsert", lambda s, d: knowledge.upsert(t(s, d, "knowledge"), knowledge.reviewed(t(s, d, "region_ocr"))),
+    f"""with {_REVIEWED}, both_ as (select entry_id, ocr_value, validation_count, created_at, last_validated, learned_confidence, 0 new from knowledge where entry_id is not null union all select *, 1 from rev),
+    per as (select entry_id, new, max(validation_count) filter (validation_count >= 1) v, min(created_at) c from both_ group by 1, 2),
+    top as (select *, row_number() over (partition by entry_id order by last_validated desc nulls last, new desc, ocr_value desc nulls last, learned_confidence desc nulls last) k from both_)
+    select entry_id, top.ocr_value, cast(coalesce(v, 0) as bigint) validation_count, c created_at, top.last_validated, top.learned_confidence
+    from (select entry_id, sum(v) v, min(c) c from per group by 1) join top using (entry_id) where k = 1""",
+)
+register("forest_label", lambda s, d: knowledge.forest(t(s, d, "embeddings")))
