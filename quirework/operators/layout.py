@@ -207,7 +207,7 @@ def outside(boxes: DataFrame, kinds: tuple[str, ...] = ("table", "header", "foot
 
 def table_rows(words: DataFrame, region_ocr: DataFrame) -> DataFrame:
     """Rebuilt tables: (doc_id, region_id, i, n_cells, text), the cells of row i joined by `` | ``, each with its words in
-    order. A word belongs to the row and column whose separator is the last before where it begins."""
+    order. A word belongs to the row and column whose separator is the nearest to where it begins, the first of two."""
     ys, xs = table_separators(words, region_ocr)
     keys = ["doc_id", "region_id"]
     boxes = region_boxes(words, region_ocr).where("type = 'table'").select(*keys, F.col("bbox.x").alias("_x"), F.col("bbox.y").alias("_y"))
@@ -215,7 +215,7 @@ def table_rows(words: DataFrame, region_ocr: DataFrame) -> DataFrame:
     w = w.select(*keys, "word_idx", F.trim("text").alias("text"), (F.col("bbox.x1") - F.col("_x")).alias("x"), (F.col("bbox.y1") - F.col("_y")).alias("y"))
     for seps, at, n in ((ys, "y", "i"), (xs, "x", "j")):
         s = seps.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_s"))
-        w = w.join(s, keys).withColumn(n, F.greatest(F.lit(1), F.size(F.filter("_s", lambda e: e <= F.col(at)))) - 1).drop("_s")
+        w = w.join(s, keys).withColumn(n, F.array_min(F.transform("_s", lambda e, k: F.struct(F.abs(e - F.col(at)).alias("d"), k.alias("k"))))["k"]).drop("_s")
     cell = w.groupBy(*keys, "i", "j").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda e: e["text"]), " ").alias("t"))
     row = F.array_sort(F.collect_list(F.struct("j", "t")))
     return cell.groupBy(*keys, "i").agg(F.count(F.lit(1)).cast("int").alias("n_cells"), F.array_join(F.transform(row, lambda e: e["t"]), " | ").alias("text"))

@@ -499,8 +499,8 @@ register(
 register(
     "rebuild_tables", lambda s, d: layout.table_rows(t(s, d, "words"), t(s, d, "region_ocr")),
     f"""with {_SEPS}, {_WORDS_ONE}, p as (select w.doc_id, w.region_id, word_idx, trim(text) text, bx1 - b.x x, by1 - b.y y from wr w join boxes b using (doc_id, region_id) where "type" = 'table' and bx1 is not null and trim(text) <> ''),
-    ly as (select doc_id, region_id, list(y) l from ys group by all), lx as (select doc_id, region_id, list(x) l from xs group by all),
-    c as (select p.doc_id, p.region_id, word_idx, text, greatest(1, len(list_filter(ly.l, lambda e: e <= p.y))) - 1 i, greatest(1, len(list_filter(lx.l, lambda e: e <= p.x))) - 1 j from p join ly using (doc_id, region_id) join lx using (doc_id, region_id)),
+    ly as (select doc_id, region_id, list(y order by y) l from ys group by all), lx as (select doc_id, region_id, list(x order by x) l from xs group by all),
+    c as (select p.doc_id, p.region_id, word_idx, text, list_position(list_transform(ly.l, lambda e: abs(e - p.y)), list_min(list_transform(ly.l, lambda e: abs(e - p.y)))) - 1 i, list_position(list_transform(lx.l, lambda e: abs(e - p.x)), list_min(list_transform(lx.l, lambda e: abs(e - p.x)))) - 1 j from p join ly using (doc_id, region_id) join lx using (doc_id, region_id)),
     g as (select doc_id, region_id, i, j, string_agg(text, ' ' order by word_idx, text) t from c group by all)
     select doc_id, region_id, cast(i as int) i, cast(count(*) as int) n_cells, string_agg(t, ' | ' order by j) "text" from g group by 1, 2, 3""",
 )
