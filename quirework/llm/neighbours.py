@@ -4,7 +4,7 @@ Vectors are spread over cells, the regions of centres fitted on a bounded sample
 about equally many. Each cell is a shard with a hierarchical small-world graph (a cell that turns out larger is split
 into several). A vector is indexed in the cell of its first centre; there it is searched from its own node, and in the
 cells of its next centres from above: in a number of cells, a share of all or all (``probes=None``). The lists of the
-shards are merged. Two probes find what is really alike (cosine of 0.95 and more), as such vectors share their first
+shards are merged. Three probes find what is really alike (cosine of 0.95 and more), as such vectors share their first
 centres; the nearest of vectors that have nothing alike may lie in any cell, so for them the probes must grow with the
 number of cells. ``exact=True`` compares with every vector of every cell instead of walking the graphs. Equal vectors
 are one node; their ids are put back at the end.
@@ -33,7 +33,7 @@ MAX_CENTRES = 8192
 SAMPLE_PER_CENTRE = 8
 SAMPLE_ROWS = 4096
 #: Probes and beam for what is alike, and for the nearest of every vector (a share of the cells).
-PROBES = 2
+PROBES = 3
 EF = 32
 SHARE = 0.7
 WIDE_EF = 96
