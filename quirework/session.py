@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per context, so that they need not have it installed or on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quirework", False):
+        return
+    root = Path(__file__).parent
+    fd, name = tempfile.mkstemp(prefix="quirework-", suffix=".zip")  # served by the driver; no data of a job
+    os.close(fd)
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(name)
+    sc._quirework = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
