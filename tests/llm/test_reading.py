@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+
 from quirework.llm import reading as R
 
 EASY, HARD = "We see the sun. You get the map.", " ".join(["The multidimensional characterisation asymptotically underestimates"] * 5) + "."
@@ -60,3 +62,20 @@ def test_accuracy_on_held_out_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/level_labels.parquet").where("grade in (1, 5)")
     got = R.levels(d.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").select("doc_id", "grade").distinct(), "doc_id").where("level is not null").collect()
     assert len(got) >= 5 and sum(abs(r.level - r.grade) <= 1 for r in got) >= 0.8 * len(got)
+
+
+def test_every_document_trains(spark):
+    """More documents and labels than any bounded sample held; words beyond the vocabulary count together."""
+    n = 20_100
+    df = spark.range(n).selectExpr("id doc_id", f"'{percent(('markdown', EASY))}' text")
+    words, logp, prior = R.train(df, df.selectExpr("doc_id", "'a' grader", "3 grade"), vocabulary=2)
+    assert abs(prior - np.log(np.array([n + 1, 1, n + 1, 1, 1]) / (2 * n + 5))).max() < 1e-9
+    assert list(words) == ["the", "get"] and abs(logp[:, 0] - np.log((n * np.array([2, 1, 5]) + 0.5) / (8 * n + 1.5))).max() < 1e-9
+
+
+def test_compared_documents_do_not_train(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, percent(("markdown", EASY))) for i in range(8)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "a", 1) for i in range(6)], "doc_id bigint, grader string, grade int")
+    seen, train = [], R.train
+    monkeypatch.setattr(R, "train", lambda d, *a, **k: seen.append({r.doc_id for r in d.collect()}) or train(d, *a, **k))
+    assert [tuple(r) for r in R.accuracy(docs, labels).collect()] == [(1, 3, 3, 3)] and seen == [{0, 2, 4, 6, 7}]
