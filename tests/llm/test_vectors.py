@@ -1,5 +1,6 @@
 import numpy as np
 
+from quirework.llm import graph
 from quirework.llm import neighbours as N
 from quirework.llm.graph import Hnsw, Nsw
 
@@ -168,3 +169,14 @@ def test_segment_below_the_goal_is_compared_exhaustively():
     r, node, d = g.within(q, 10)
     dist = np.bitwise_count(q[:, None, 0] ^ w[None, :, 0])
     assert sorted(zip(r.tolist(), node.tolist())) == sorted(map(tuple, np.argwhere(dist <= 10).tolist()))
+
+
+def test_distances_are_taken_in_bounded_pieces(monkeypatch):
+    """No step of a search holds the vectors of all its candidates at once; what is found is the same."""
+    v = clusters(3000, 32)
+    g = Hnsw(v)
+    whole, most = g.search(v[:600], 5), []
+    monkeypatch.setattr(graph, "PIECE_BYTES", 64 * 32 * 4, raising=False)
+    monkeypatch.setitem(graph.METRICS, "cosine", lambda x, y: most.append(len(x)) or graph.cosine(x, y))
+    pieces = g.search(v[:600], 5)
+    assert max(most) == 64 and all(np.array_equal(a, b) for a, b in zip(whole, pieces))
