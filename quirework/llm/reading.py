@@ -23,7 +23,7 @@ GRADES = (1, 2, 3, 4, 5)
 #: Words beyond the most frequent of the training texts count together as one word; ``vocabulary`` of ``levels``.
 MAX_VOCABULARY = 50_000
 #: Counts that a training task holds before it sends them on.
-HELD_COUNTS = 500_000
+HELD_COUNTS = 200_000
 SMOOTHING = 0.5
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)

@@ -79,3 +79,12 @@ def test_compared_documents_do_not_train(spark, monkeypatch):
     seen, train = [], R.train
     monkeypatch.setattr(R, "train", lambda d, *a, **k: seen.append({r.doc_id for r in d.collect()}) or train(d, *a, **k))
     assert [tuple(r) for r in R.accuracy(docs, labels).collect()] == [(1, 3, 3, 3)] and seen == [{0, 2, 4, 6, 7}]
+
+
+def test_counts_sent_on_early_add_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, percent(("markdown", EASY if i % 2 else HARD))) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "a", 3) for i in range(9)], "doc_id bigint, grader string, grade int")
+    whole = R.train(docs, labels)
+    monkeypatch.setattr(R, "HELD_COUNTS", 1)
+    parts = R.train(docs, labels)
+    assert whole[0] == parts[0] and np.array_equal(whole[1], parts[1]) and np.array_equal(whole[2], parts[2])
